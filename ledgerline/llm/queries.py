@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import decontam, mixing, urls
+from ledgerline.llm import decontam, lm, mixing, urls
 from ledgerline.llm.sql import ORACLES
 
 
@@ -24,7 +24,11 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_decontamination, op6_url_filter, op9_mixing)}
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op5_decontamination, op6_url_filter, op9_mixing, op10_lm_scoring)}
 
 
 def queries() -> dict:
