@@ -187,7 +187,7 @@ class Encoder:
         if len(self.known) > MEMORY:
             self.known = {}
         known = self.known
-        new = list({p for ps in pieces for p in ps} - known.keys())
+        new = [p for p in {p for ps in pieces for p in ps} if p not in known]
         for at in range(0, len(new), 10_000):
             for piece, found in zip(new[at : at + 10_000], self.tokenizer.encode_batch_fast(new[at : at + 10_000], add_special_tokens=False), strict=True):
                 known[piece] = tuple(found.ids)
