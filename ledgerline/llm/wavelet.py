@@ -14,12 +14,15 @@ from __future__ import annotations
 
 import json
 import os
+import sys
+import types
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import zstandard
 from pyspark import TaskContext
@@ -34,7 +37,9 @@ RANK_BLOCK = 512
 #: A shard's file is closed at this many tokens; a longer document has a file of its own.
 SHARD_TOKENS = 4_000_000
 #: Distinct pieces of text whose ids a worker remembers.
-MEMORY = 300_000
+MEMORY = 600_000
+#: Bytes of text encoded at once, about.
+TEXT_BYTES = 8_000_000
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
 
 
@@ -47,14 +52,22 @@ class WaveletMatrix:
 
     @classmethod
     def of(cls, ids: np.ndarray) -> WaveletMatrix:
-        alphabet, codes = (np.unique(ids, return_inverse=True)) if len(ids) else (np.zeros(0, np.uint32), ids)
+        if len(ids) and int(ids.max()) < 1 << 22:
+            alphabet = np.flatnonzero(np.bincount(ids))
+            place = np.zeros(int(alphabet[-1]) + 1, np.uint32)
+            place[alphabet] = np.arange(len(alphabet))
+            codes = place[ids]
+        else:
+            alphabet, codes = np.unique(ids, return_inverse=True) if len(ids) else (np.zeros(0, np.uint32), ids)
         depth = max(1, int(len(alphabet) - 1).bit_length()) if len(alphabet) else 1
         rest, planes, ranks = codes.astype(np.uint16 if depth <= 16 else np.uint32), [], []
         for level in range(depth - 1, -1, -1):
-            bit = ((rest >> level) & 1).astype(bool)
+            bit = (rest & rest.dtype.type(1 << level)) != 0
             planes.append(np.packbits(bit, bitorder="little"))
-            whole = np.add.reduceat(bit, np.arange(0, len(bit), RANK_BLOCK), dtype=np.uint64) if len(bit) else np.zeros(0, np.uint64)
-            ranks.append(np.concatenate(([0], np.cumsum(whole))).astype(np.uint64))
+            padded = np.zeros(-(-len(bit) // RANK_BLOCK) * RANK_BLOCK // 8, np.uint8)
+            padded[: len(planes[-1])] = planes[-1]
+            whole = np.bitwise_count(padded.view(np.uint64)).reshape(-1, RANK_BLOCK // 64).sum(axis=1, dtype=np.uint64)
+            ranks.append(np.concatenate((np.zeros(1, np.uint64), np.cumsum(whole, dtype=np.uint64))))
             rest = np.concatenate((rest[~bit], rest[bit]))
         return cls(alphabet.astype(np.uint32), planes, ranks, len(ids))
 
@@ -126,7 +139,7 @@ class WaveletMatrix:
         """All symbols, by undoing the planes from the last to the first."""
         codes = np.zeros(self.n, np.uint16 if len(self.planes) <= 16 else np.uint32)
         for k, plane in enumerate(reversed(self.planes)):
-            bit = np.unpackbits(plane, count=self.n, bitorder="little").astype(bool)
+            bit = np.unpackbits(plane, count=self.n, bitorder="little").view(bool)
             z, above = self.zeros[-1 - k], np.empty_like(codes)
             above[~bit] = codes[:z]
             above[bit] = codes[z:] | codes.dtype.type(1 << k)
@@ -172,26 +185,80 @@ class Shard:
         )
 
 
+#: Characters that the tokenizer file splits from letters before them; the apostrophe, which may start a suffix, is not one.
+TAIL = ".,!?;:"
+
+
+class _Pieces(dict):
+    """Ids of pieces of text, as little-endian u32 bytes; made on first use."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.model, self.tails = tokenizer, tokenizer.model, {}
+        self.letters = {chr(c): "".join(_BYTE_LETTERS[b] for b in chr(c).lower().encode()) for c in range(128, 0x250)}
+
+    def ids(self, piece: str) -> bytes:
+        return array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+
+    def __missing__(self, piece: str) -> bytes:
+        # Latin letters and then perhaps end marks are two units to the tokenizer: the letters go to its model
+        # directly, lower-cased and with bytes as letters, which is what its own first steps make of them.
+        core = piece.rstrip(TAIL)
+        low = core.lower()
+        if low.isalpha() and core.isalpha() and (core.isascii() or max(core) < "\u0250"):
+            word = low if low.isascii() else "".join([self.letters.get(c, c) for c in low])
+            found = array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+            tail = piece[len(core) :]
+            if tail:
+                if tail not in self.tails:
+                    self.tails[tail] = self.ids(tail)
+                found += self.tails[tail]
+        else:
+            found = self.ids(piece)
+        if len(self) >= MEMORY:
+            self.clear()
+        self[piece] = found
+        return found
+
+
+def _byte_letters() -> list[str]:
+    """The letter that byte-level tokenizers write for each byte: itself if printable, else the next from U+0100 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    other = (chr(256 + i) for i in range(256))
+    return [chr(b) if b in plain else next(other) for b in range(256)]
+
+
+_BYTE_LETTERS = _byte_letters()
+
+
 class Encoder:
     """Texts to ids with a tokenizer file. White space ends every piece, so texts are cut at spaces and line
-    ends, and the ids of each distinct piece are remembered (up to MEMORY of them, then anew)."""
+    ends, and the ids of each distinct piece are remembered (up to MEMORY of them, then anew) for as long
+    as the worker process lives."""
 
     def __init__(self, tokenizer: bytes):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer, self.known = Tokenizer.from_buffer(tokenizer), {}
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        pieces = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > MEMORY:
-            self.known = {}
-        known = self.known
-        new = [p for p in {p for ps in pieces for p in ps} if p not in known]
-        for at in range(0, len(new), 10_000):
-            for piece, found in zip(new[at : at + 10_000], self.tokenizer.encode_batch_fast(new[at : at + 10_000], add_special_tokens=False), strict=True):
-                known[piece] = tuple(found.ids)
-        return [np.fromiter(chain.from_iterable(map(known.__getitem__, ps)), np.uint32) for ps in pieces]
+        kept = sys.modules.setdefault("_ledgerline_worker", types.ModuleType("_ledgerline_worker")).__dict__
+        name = f"pieces {zlib.crc32(tokenizer)} {len(tokenizer)}"
+        if name not in kept:
+            kept[name] = _Pieces(Tokenizer.from_buffer(tokenizer))
+        self.known = kept[name]
+
+    def encode(self, texts: list[str | None] | pa.Array) -> list[np.ndarray]:
+        """Arrow cuts the texts and numbers their distinct pieces; ids are then gathered by number."""
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        cut = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        numbered = cut.flatten().dictionary_encode()
+        found = list(map(self.known.__getitem__, numbered.dictionary.to_numpy(zero_copy_only=False).tolist()))
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        first, ids = np.cumsum(size) - size, np.frombuffer(b"".join(found), "<u4")
+        piece = numbered.indices.to_numpy()
+        n = size[piece]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        out = ids[np.repeat(first[piece] - ends[:-1], n) + np.arange(ends[-1])]
+        at = ends[cut.offsets.to_numpy() - cut.offsets[0].as_py()]
+        return [out[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
 def _file_system(path: str) -> tuple[pafs.FileSystem, str]:
@@ -226,9 +293,10 @@ def _writer(folder: str, tokenizer: bytes, end_id: int, encoder=Encoder):
 
         end = np.array([end_id], np.uint32)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                for doc_id, x in zip(some.column(0).to_pylist(), encode(some.column(1).to_pylist()), strict=True):
+            step = max(1, int(batch.num_rows * TEXT_BYTES / max(1, batch.nbytes)))
+            for at in range(0, batch.num_rows, step):
+                some = batch.slice(at, step)
+                for doc_id, x in zip(some.column(0).to_pylist(), encode(some.column(1)), strict=True):
                     if size and size + len(x) + 1 > SHARD_TOKENS:
                         yield close()
                     ids += [np.concatenate((x, end))]
