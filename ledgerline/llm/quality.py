@@ -101,7 +101,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float, rounds: int = 50) -> n
 
 
 def _fit(rows: list, y: np.ndarray, screen: bool, l2: float = 1e-3) -> Linear:
-    """A logistic fit on presence features (L-BFGS-free: accelerated gradient), after dropping those of no evidence."""
+    """A logistic fit on presence features (accelerated gradient steps), after dropping those of no evidence."""
     owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     ids, index = np.unique(np.concatenate(rows) if rows else np.zeros(0, np.int64), return_inverse=True)
     n, n1 = max(1, len(y)), max(1.0, float(y.sum()))
@@ -109,6 +109,7 @@ def _fit(rows: list, y: np.ndarray, screen: bool, l2: float = 1e-3) -> Linear:
     good, held = np.bincount(index, weights=y[owner], minlength=len(ids)), np.bincount(index, minlength=len(ids)).astype(float)
     bad = held - good
     chi = n * (good * (n0 - bad) - bad * (n1 - good)) ** 2 / np.maximum(n1 * n0 * held * (n - held), 1.0)
+    chi = np.where(good * n0 < bad * n1, chi, 0)  # the text view has signs of faults alone: harmless words can't make up for them
     keep = np.argsort(-chi, kind="stable")[:FEATURES] if screen else np.arange(len(ids))
     keep = keep[chi[keep] >= LEAST_CHI] if screen else keep
     column = np.full(len(ids), -1)
@@ -126,6 +127,7 @@ def _fit(rows: list, y: np.ndarray, screen: bool, l2: float = 1e-3) -> Linear:
         s = np.bincount(r, weights=vw[c], minlength=len(rows)) + vb
         g = (1 / (1 + np.exp(-np.clip(s, -30, 30))) - y) / max(1, len(y))
         nw = vw - step * (np.bincount(c, weights=g[r], minlength=len(keep)) + l2 * vw)
+        nw = np.minimum(nw, 0) if screen else nw
         nb = vb - bias_step * g.sum()
         nt = (1 + np.sqrt(1 + 4 * t * t)) / 2
         if (nw - w) @ (vw - nw) + (nb - bias) * (vb - nb) > 0:  # the momentum points uphill: start it anew
@@ -135,6 +137,23 @@ def _fit(rows: list, y: np.ndarray, screen: bool, l2: float = 1e-3) -> Linear:
     return Linear({int(i): float(x) for i, x in zip(ids[keep], w, strict=True)}, float(bias))
 
 
+def _proven(odds: np.ndarray, right: np.ndarray, sure: float) -> float:
+    """The least log odds, of those that mean ``sure`` at least, above which that share of documents is right even at the
+    lower end of a 95 % interval (Wilson's); infinite if there is none."""
+    order = np.argsort(-odds, kind="stable")
+    n = np.arange(1, len(order) + 1)
+    share = np.cumsum(right[order]) / n
+    low = (share + 1.92 / n - 1.96 * np.sqrt(share * (1 - share) / n + 0.96 / n**2)) / (1 + 3.84 / n)
+    good = np.flatnonzero(low >= sure)
+    return max(float(np.log(sure / (1 - sure))), float(odds[order[good[-1]]])) if len(good) else np.inf
+
+
+def _both(text_odds, meta_odds) -> list:
+    """What the combination weighs: each view's log odds up to 8 either way, and the lower of both, since either may see the fault."""
+    t, m = np.clip(text_odds, -8, 8), np.clip(meta_odds, -8, 8)
+    return [t, m, np.minimum(t, m)]
+
+
 class Model:
     """Both views with their calibration, the bins of the metadata view, and the combination."""
 
@@ -145,7 +164,7 @@ class Model:
         return _meta_features(self.edges, source, lang, figures)
 
     def combined(self, text_odds, meta_odds):
-        return self.mix[0] * text_odds + self.mix[1] * meta_odds + self.mix[2]
+        return sum(w * x for w, x in zip(self.mix, [*_both(text_odds, meta_odds), 1.0], strict=True))
 
 
 def _meta_features(edges, source, lang, figures) -> list[int]:
@@ -175,7 +194,7 @@ def _inputs(docs: DataFrame) -> DataFrame:
     return docs.select(*(F.col(c).cast(t).alias(c) for c, t in (("doc_id", "long"), ("text", "string"), ("lang", "string"), ("source", "string"), ("n_chars", "long"))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = 6000, pool: int = 3000, rounds: int = 4, sure: float = 0.98, per_round: int = 300) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = 10_000, pool: int = 4000, rounds: int = 3, sure: float = 0.95, per_round: int = 60) -> Model:
     """Co-train on at most ``labelled`` labelled and ``pool`` unlabelled documents.
 
     Rows of labels with a null id, quality or toxic are ignored; of several labels of a document, it is
@@ -207,7 +226,7 @@ def cotrain(data, rounds: int, sure: float, per_round: int) -> Model:
     marked = np.flatnonzero(~np.isnan(label))
     if len(marked) < 20 or len(set(label[marked])) < 2:
         same = Linear({}, 0.0 if not len(marked) or label[marked].mean() >= 0.5 else -10.0)
-        return Model(edges, same, Linear({}, 0.0), np.array([1.0, 0.0, 5.0]))
+        return Model(edges, same, Linear({}, 0.0), np.array([1.0, 0.0, 0.0, 5.0]))
     aside = np.array([zlib.crc32(str(i).encode()) % 4 == 0 for i in data["doc_id"]])
     held, train = marked[aside[marked]], marked[~aside[marked]]
     if len(set(label[held])) < 2 or len(set(label[train])) < 2:
@@ -227,19 +246,15 @@ def cotrain(data, rounds: int, sure: float, per_round: int) -> Model:
             break
         for v in (0, 1):
             rest = np.array([i for i in free if i not in taught[1 - v]], int)
-            if len(rest):
-                odds = models[v].log_odds(scored(models[v], views[v], rest))
-                limit = np.log(sure / (1 - sure))
-                for value, order in ((1.0, np.argsort(-odds, kind="stable")), (0.0, np.argsort(odds, kind="stable"))):
-                    for i in order[:per_round]:
-                        if (odds[i] if value else -odds[i]) >= limit:
-                            taught[1 - v][int(rest[i])] = value
+            tested = models[v].log_odds(scored(models[v], views[v], held))
+            odds = models[v].log_odds(scored(models[v], views[v], rest))
+            for value, way in ((1.0, 1), (0.0, -1)):
+                # A view teaches a class only from a confidence at which it is right on the documents kept aside.
+                limit = _proven(way * tested, label[held] == value, sure)
+                order = rest[np.argsort(-way * odds, kind="stable")][:per_round]
+                taught[1 - v].update({int(i): value for i, x in zip(order, np.sort(-way * odds, kind="stable"), strict=False) if -x >= limit})
     odds = [models[v].log_odds(scored(models[v], views[v], held)) for v in (0, 1)]
-    mix = _logistic(np.stack([*odds, np.ones(len(held))], axis=1), label[held], 1e-3)
-    if min(mix[:2]) < 0:  # a view that only misleads is left out
-        v = int(np.argmax(mix[:2]))
-        two = _logistic(np.stack([odds[v], np.ones(len(held))], axis=1), label[held], 1e-3)
-        mix = np.array([two[0] if v == 0 else 0.0, two[0] if v == 1 else 0.0, two[1]])
+    mix = _logistic(np.stack([*_both(*odds), np.ones(len(held))], axis=1), label[held], 1e-3)
     for m in models:
         m.weights = {k: x for k, x in m.weights.items() if abs(x) > 1e-3}
     return Model(edges, models[0], models[1], mix)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import decontam, lm, mixing, simhash, urls, wavelet
+from ledgerline.llm import decontam, lm, mixing, quality, simhash, urls, wavelet
 from ledgerline.llm.sql import ORACLES
 
 
@@ -28,6 +28,11 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
@@ -36,7 +41,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op4_token_files, op5_decontamination, op6_url_filter, op9_mixing, op10_lm_scoring)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op4_token_files, op5_decontamination, op6_url_filter, op8_quality, op9_mixing, op10_lm_scoring)}
 
 
 def queries() -> dict:
