@@ -68,7 +68,10 @@ class WaveletMatrix:
             padded[: len(planes[-1])] = planes[-1]
             whole = np.bitwise_count(padded.view(np.uint64)).reshape(-1, RANK_BLOCK // 64).sum(axis=1, dtype=np.uint64)
             ranks.append(np.concatenate((np.zeros(1, np.uint64), np.cumsum(whole, dtype=np.uint64))))
-            rest = np.concatenate((rest[~bit], rest[bit]))
+            zeros, below = len(bit) - np.count_nonzero(bit), np.empty_like(rest)
+            np.compress(bit, rest, out=below[zeros:])
+            np.compress(np.logical_not(bit, out=bit), rest, out=below[:zeros])
+            rest = below
         return cls(alphabet.astype(np.uint32), planes, ranks, len(ids))
 
     def _ones(self, level: int, i: int) -> int:
@@ -141,8 +144,9 @@ class WaveletMatrix:
         for k, plane in enumerate(reversed(self.planes)):
             bit = np.unpackbits(plane, count=self.n, bitorder="little").view(bool)
             z, above = self.zeros[-1 - k], np.empty_like(codes)
-            above[~bit] = codes[:z]
-            above[bit] = codes[z:] | codes.dtype.type(1 << k)
+            codes[z:] |= codes.dtype.type(1 << k)
+            above[np.flatnonzero(bit)] = codes[z:]
+            above[np.flatnonzero(~bit)] = codes[:z]
             codes = above
         return self.alphabet[codes] if self.n else np.zeros(0, np.uint32)
 
