@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import decontam, lm, mixing, quality, simhash, urls, wavelet
+from ledgerline.llm import decontam, lm, matroska, mixing, quality, simhash, urls, wavelet
 from ledgerline.llm.sql import ORACLES
 
 
@@ -16,6 +16,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matroska.store_and_digest(table(spark, sf_dir, "documents"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.tokenize(table(spark, sf_dir, "documents"))
 
@@ -41,7 +45,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op4_token_files, op5_decontamination, op6_url_filter, op8_quality, op9_mixing, op10_lm_scoring)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_matroska, op4_token_files, op5_decontamination, op6_url_filter, op8_quality, op9_mixing, op10_lm_scoring)}
 
 
 def queries() -> dict:
