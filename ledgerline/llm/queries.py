@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import decontam, lm, matroska, mixing, quality, simhash, urls, wavelet
+from ledgerline.llm import chat, decontam, lm, matroska, mixing, quality, simhash, token_count, urls, wavelet
 from ledgerline.llm.sql import ORACLES
 
 
@@ -20,6 +20,10 @@ def op2_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.store_and_digest(table(spark, sf_dir, "documents"))
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.tokenize(table(spark, sf_dir, "documents"))
 
@@ -32,6 +36,10 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.count_tokens(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -45,7 +53,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_matroska, op4_token_files, op5_decontamination, op6_url_filter, op8_quality, op9_mixing, op10_lm_scoring)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_matroska, op3_chat_format, op4_token_files, op5_decontamination, op6_url_filter, op7_token_counts, op8_quality, op9_mixing, op10_lm_scoring)}
 
 
 def queries() -> dict:

@@ -70,4 +70,13 @@ SELECT doc_id, size, source_size, target, size * (copies + CASE WHEN more THEN 1
 FROM rows_ JOIN c ON rows_.source IS NOT DISTINCT FROM c.source JOIN k ON rows_.source IS NOT DISTINCT FROM k.source AND rows_.hash = k.hash
 """
 
-ORACLES = {"op5_decontamination": OP5, "op6_url_filter": OP6, "op9_mixing": OP9}
+OP3 = r"""
+WITH c AS (SELECT conv_id, list(struct_pack(r := role, x := text) ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS t,
+    string_agg('<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || chr(10), '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS text FROM conversations GROUP BY conv_id),
+n AS (SELECT conv_id, t, len(t) AS n, text FROM c),
+p AS (SELECT DISTINCT t[1:k] AS t FROM (SELECT t, unnest(range(1, CAST(n AS BIGINT))) AS k FROM n)),
+g AS (SELECT t, n, min(conv_id) AS conv_id, count(*) AS n_copies, arg_min(text, conv_id) AS text FROM n GROUP BY t, n)
+SELECT conv_id, CAST(n AS BIGINT) AS n_turns, n_copies, text FROM g WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.t = g.t)
+"""
+
+ORACLES = {"op3_chat_format": OP3, "op5_decontamination": OP5, "op6_url_filter": OP6, "op9_mixing": OP9}
