@@ -179,13 +179,13 @@ def _values(fps: np.ndarray, group: list[int]) -> np.ndarray:
     return out
 
 
-def make_plan(fps: DataFrame, max_bits: int) -> tuple[list[list[int]], list[int]]:
-    """Bit groups and their thresholds."""
+def make_plan(fps: DataFrame, max_bits: int, share: float = 1.0) -> tuple[list[list[int]], list[int]]:
+    """Bit groups and their thresholds; share: of all pairs, those that may meet (in bands)."""
     n, both = bit_counts(fps)
 
     def even(m: int) -> float:
         widths = [64 // m + (k < 64 % m) for k in range(m)]
-        return allot([[ROW_COST * n * rows_sent(w, t) + even_pairs(n, w, t) for t in range(-1, max_bits + 1)] for w in widths], max_bits - m + 1)[0]
+        return allot([[ROW_COST * n * rows_sent(w, t) + share * even_pairs(n, w, t) for t in range(-1, max_bits + 1)] for w in widths], max_bits - m + 1)[0]
 
     m = min(range(2, max(2, min(8, max_bits + 1)) + 1), key=even)
     groups = group_bits(n, both, m)
@@ -211,7 +211,7 @@ def make_plan(fps: DataFrame, max_bits: int) -> tuple[list[list[int]], list[int]
         if rest:
             pairs = np.convolve(pairs, [comb(rest, d) / 2.0**rest for d in range(rest + 1)])
         upto = np.cumsum(pairs)
-        cost.append([0.0] + [ROW_COST * n * rows_sent(len(g), t) + upto[min(t, len(upto) - 1)] for t in range(max_bits + 1)])
+        cost.append([0.0] + [ROW_COST * n * rows_sent(len(g), t) + share * upto[min(t, len(upto) - 1)] for t in range(max_bits + 1)])
     return groups, allot(cost, max_bits - m + 1)[1]
 
 
@@ -341,7 +341,12 @@ def near_links(fps: DataFrame, max_bits: int, banded: bool = False, pairs: bool
     are met.
     """
     spark = fps.sparkSession
-    groups, thresholds = make_plan(fps, max_bits)
+    share = 1.0
+    if banded:
+        sizes = dict(fps.groupBy("band").count().collect())  # a row for each quarter's growth in length
+        n = max(1, sum(sizes.values()))
+        share = sum(c * (c + 2 * sizes.get(b + 1, 0)) for b, c in sizes.items()) / n**2
+    groups, thresholds = make_plan(fps, max_bits, share)
     rows = fps.select("fp", F.col("band").cast("int").alias("band")) if banded else fps.select("fp")
     made = rows.mapInArrow(_signatures(groups, thresholds, banded), "part int, band int, value long, side byte, fp long")
     held = materialize(made.where("side <> 1").groupBy("part", "band", "value").count().where(F.col("count") > HOT), "hot-values")
@@ -382,3 +387,154 @@ def near_duplicates(docs: DataFrame, size: int = 3, max_bits: int = 3) -> DataFr
     ids = materialize(named.join(least, "component").select("fp", "component_id"), "component-ids")
     out = rows.join(ids, "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# --- one document of each group -------------------------------------------------------------------
+
+#: Texts, and shingles of them, that are compared with one another at once.
+BLOCK_TEXTS, BLOCK_SHINGLES = 4000, 6_000_000
+
+
+def _text_rows(batches):
+    """(doc_id, text key, text) -> fingerprint of 3-word shingles, and band: quarters' growth in the number of distinct ones."""
+    for batch in batches:
+        fps, bands = [], []
+        for t in batch.column(2):
+            h = shingle_hashes(tokens_of(t.as_py()), 3)
+            fps.append(fingerprint(h))
+            bands.append(int(np.log(max(1, len(np.unique(h)))) / np.log(1.25)))
+        yield pa.record_batch({"doc_id": batch.column(0), "key": batch.column(1), "fp": pa.array(np.array(fps, np.uint64).view(np.int64)), "band": pa.array(bands, pa.int32())})
+
+
+class _Sets:
+    """Texts of a block in sets: a text joins every set that has one similar to it."""
+
+    def __init__(self, max_bits: int, size: int, similarity: float):
+        self.max_bits, self.size, self.similarity = max_bits, size, similarity
+        self.fps, self.shingles, self.root, self.names, self.total = np.zeros(256, np.uint64), [], [], [], 0
+
+    def find(self, i: int) -> int:
+        while self.root[i] != i:
+            self.root[i] = self.root[self.root[i]]
+            i = self.root[i]
+        return i
+
+    def similar(self, a: np.ndarray, b: np.ndarray) -> bool:
+        small, large = sorted((len(a), len(b)))
+        if small < self.similarity * large:
+            return False
+        if not large:
+            return True
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        return both >= self.similarity * (len(a) + len(b) - both)
+
+    def add(self, name, fp: np.uint64, text: str | None) -> None:
+        mine, i = np.unique(shingle_hashes(tokens_of(text), self.size)), len(self.names)
+        near_ = np.flatnonzero(np.bitwise_count(self.fps[:i] ^ fp) <= self.max_bits)
+        if i == len(self.fps):
+            self.fps = np.concatenate((self.fps, np.zeros_like(self.fps)))
+        self.fps[i] = fp
+        self.names.append(name)
+        self.root.append(i)
+        self.shingles.append(mine)
+        self.total += len(mine)
+        for j in near_:
+            a, b = self.find(i), self.find(int(j))
+            if a != b and self.similar(mine, self.shingles[j]):
+                a, b = sorted((a, b), key=lambda x: self.names[x])
+                self.root[b] = a  # the least name leads
+
+
+def _verify(max_bits: int, size: int, similarity: float):
+    """Sorted rows of (component, order, key, fp, text) -> (component, key, leader, blocks): each text's set in its block."""
+
+    def run(batches):
+        now, sets, blocks, out = None, None, 0, []
+
+        def close():
+            for i, (_, key) in enumerate(sets.names):
+                out.append((now, key, sets.names[sets.find(i)][1]))
+
+        def rows():
+            data = pa.record_batch({"component": pa.array([r[0] for r in out], pa.int64()), "key": pa.array([r[1] for r in out], pa.binary()), "leader": pa.array([r[2] for r in out], pa.binary())})
+            out.clear()
+            return data
+
+        for batch in batches:
+            for at in range(batch.num_rows):
+                component = batch.column(0)[at].as_py()
+                if component != now or len(sets.names) >= BLOCK_TEXTS or sets.total >= BLOCK_SHINGLES:
+                    if sets is not None:
+                        close()
+                    now, sets = component, _Sets(max_bits, size, similarity)
+                    if len(out) > 5000:
+                        yield rows()
+                doc_id = batch.column(1)[at].as_py()
+                key = batch.column(2)[at].as_py()
+                sets.add(((doc_id is None, doc_id or 0), key), np.int64(batch.column(3)[at].as_py()).astype(np.uint64), batch.column(4)[at].as_py())
+        if sets is not None:
+            close()
+        if out:
+            yield rows()
+
+    return run
+
+
+def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8, max_bits: int = 12, max_rounds: int = 8) -> DataFrame:
+    """docs with one document of each group of near copies, the one of the smallest id.
+
+    Near copies have word shingles (size words) of Jaccard similarity ``similarity`` or more; groups are
+    connected by such pairs. Candidates are texts whose SimHash fingerprints (3-word shingles) are
+    within max_bits bits and whose numbers of shingles lie within a quarter's growth or so: 12 bits
+    reach nearly every pair at 0.8. Texts that candidate links connect are compared by their shingles,
+    a block of BLOCK_TEXTS at a time. If a component has more, each block's leaders go on to another
+    round, until they fit a block or none join any more; there, a pair of two followers of different
+    leaders is not compared, which may leave a group in parts but never drops a document without a
+    similar one that stays in reach.
+
+    Texts without words (null, empty) are copies of one another. Of rows equal in id and text one stays.
+    Columns and their names stay as they are.
+    """
+    columns = docs.columns
+    text = F.col("row.text").cast("string")
+    packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in columns]).alias("row"))
+    keyed = packed.select(F.col("row.doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(F.coalesce(text, F.lit("")))).alias("key"), text.alias("text"), "row")
+    rows = materialize(keyed.select("doc_id", "key", "text").mapInArrow(_text_rows, "doc_id long, key binary, fp long, band int"), "dedup-rows")
+    # min of a struct: a null id is taken only where there is no other.
+    texts = rows.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id")).alias("least"), F.first("fp").alias("fp"), F.first("band").alias("band"))
+    texts = materialize(texts.select("key", F.col("least.doc_id").alias("doc_id"), "fp", "band"), "dedup-texts")
+    comps = connected_components(near_links(texts.select("fp", "band").distinct(), max_bits, banded=True))
+    near_texts = texts.join(comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    near_texts = materialize(near_texts.select("component", "doc_id", "key", "fp"), "dedup-components")
+    many = near_texts.groupBy("component").count().where("count > 1").select("component", F.col("count").alias("members"))
+    members = near_texts.join(many, "component")
+    members = members.join(keyed.select("key", F.col("doc_id").alias("id"), "text"), "key").where(F.col("id").eqNullSafe(F.col("doc_id"))).drop("id")
+    # Rows of one id and text come once.
+    members = materialize(members.dropDuplicates(["key"]), "dedup-members")
+    n, edges, before = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), None, None
+    for turn in range(max_rounds):
+        # A component of many texts is dealt to several tasks, anew in each round.
+        parts = F.ceil(F.col("members") / BLOCK_TEXTS).cast("int")
+        dealt = members.withColumn("part", F.pmod(F.xxhash64("key", F.lit(turn)), parts)).repartition(n, "component", "part").sortWithinPartitions("component", "part", "doc_id")
+        found = materialize(dealt.select("component", "doc_id", "key", "fp", "text").mapInArrow(_verify(max_bits, size, similarity), "component long, key binary, leader binary"), "dedup-sets")
+        joined = found.where("key <> leader").select(F.col("key").alias("src"), F.col("leader").alias("dst"))
+        edges = joined if edges is None else edges.union(joined)
+        leaders = found.where("key = leader").select("component", "key")
+        left = leaders.groupBy("component").agg(F.count(F.lit(1)).alias("left"))
+        large = members.select("component", "members").distinct().where(F.col("members") > BLOCK_TEXTS).join(left, "component").where("left > 1")
+        state = large.agg(F.count(F.lit(1)), F.sum("left")).first()
+        if not state[0] or state == before:
+            break
+        before = state
+        nxt = members.drop("members").join(leaders.select("key"), "key").join(large.select("component", F.col("left").alias("members")), "component")
+        members = materialize(nxt, "dedup-members")
+    leads = connected_components(edges).withColumnRenamed("node", "key")
+    named = texts.select("key", "doc_id").join(leads, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "key"))
+    kept = materialize(named.groupBy("component").agg(first.alias("kept")).select(F.col("kept.key").alias("key"), F.col("kept.doc_id").alias("id")), "dedup-kept")
+    out = keyed.select("key", "doc_id", "row").join(kept, "key").where(F.col("doc_id").eqNullSafe(F.col("id")))
+    repeated = rows.groupBy("key", "doc_id").count().where("count > 1").select("key", F.col("doc_id").alias("twice"))
+    if repeated.take(1):
+        marked = out.join(materialize(repeated.join(kept, "key").where(F.col("twice").eqNullSafe(F.col("id"))).select("key", F.lit(True).alias("again")), "dedup-repeated"), "key", "left")
+        out = marked.where("again is null").select("key", "row").unionByName(marked.where("again").dropDuplicates(["key"]).select("key", "row"))
+    return out.select([F.col(f"row.`{c}`") for c in columns])
