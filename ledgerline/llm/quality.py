@@ -102,8 +102,9 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float, rounds: int = 50) -> n
 
 def _fit(rows: list, y: np.ndarray, screen: bool, l2: float = 1e-3) -> Linear:
     """A logistic fit on presence features (accelerated gradient steps), after dropping those of no evidence."""
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    ids, index = np.unique(np.concatenate(rows) if rows else np.zeros(0, np.int64), return_inverse=True)
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
+    index = np.concatenate(rows) if rows else np.zeros(0, np.int32)
+    ids = np.arange(index.max(initial=-1) + 1)
     n, n1 = max(1, len(y)), max(1.0, float(y.sum()))
     n0 = max(1.0, n - n1)
     good, held = np.bincount(index, weights=y[owner], minlength=len(ids)), np.bincount(index, minlength=len(ids)).astype(float)
@@ -137,6 +138,21 @@ def _fit(rows: list, y: np.ndarray, screen: bool, l2: float = 1e-3) -> Linear:
     return Linear({int(i): float(x) for i, x in zip(ids[keep], w, strict=True)}, float(bias))
 
 
+#: A feature of fewer documents of the sample can't reach LEAST_CHI.
+LEAST_DOCUMENTS = 5
+
+
+def _dense(rows: list[np.ndarray], least: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Feature ids that at least so many rows have, and each row's as indices of these."""
+    ids, count = np.unique(np.concatenate(rows) if rows else np.zeros(0, np.uint32), return_counts=True)
+    ids, out = ids[count >= least], []
+    for r in rows:
+        at = np.searchsorted(ids, r)
+        at[at == len(ids)] = 0
+        out.append(at[ids[at] == r].astype(np.int32) if len(ids) else np.zeros(0, np.int32))
+    return ids, out
+
+
 def _proven(odds: np.ndarray, right: np.ndarray, sure: float) -> float:
     """The least log odds, of those that mean ``sure`` at least, above which that share of documents is right even at the
     lower end of a 95 % interval (Wilson's); infinite if there is none."""
@@ -194,7 +210,7 @@ def _inputs(docs: DataFrame) -> DataFrame:
     return docs.select(*(F.col(c).cast(t).alias(c) for c, t in (("doc_id", "long"), ("text", "string"), ("lang", "string"), ("source", "string"), ("n_chars", "long"))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = 10_000, pool: int = 4000, rounds: int = 3, sure: float = 0.95, per_round: int = 60) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = 8000, pool: int = 3000, rounds: int = 3, sure: float = 0.95, per_round: int = 60) -> Model:
     """Co-train on at most ``labelled`` labelled and ``pool`` unlabelled documents.
 
     Rows of labels with a null id, quality or toxic are ignored; of several labels of a document, it is
@@ -220,8 +236,8 @@ def cotrain(data, rounds: int, sure: float, per_round: int) -> Model:
     """data: ``doc_id, label (or null), source, lang, present, figures``."""
     figures = np.array(data["figures"].tolist()).reshape(len(data), -1)
     edges = [np.unique(np.quantile(col, np.arange(1, BINS) / BINS)) for col in figures.T] if len(data) else []
-    text = [np.frombuffer(p, np.uint32).astype(np.int64) for p in data["present"]]
-    meta = [np.array(_meta_features(edges, s, g, f), np.int64) for s, g, f in zip(data["source"], data["lang"], figures, strict=True)]
+    text_ids, text = _dense([np.frombuffer(p, np.uint32) for p in data.pop("present")], LEAST_DOCUMENTS)
+    meta_ids, meta = _dense([np.array(_meta_features(edges, s, g, f), np.uint32) for s, g, f in zip(data["source"], data["lang"], figures, strict=True)], 1)
     label = data["label"].to_numpy(float)
     marked = np.flatnonzero(~np.isnan(label))
     if len(marked) < 20 or len(set(label[marked])) < 2:
@@ -255,8 +271,8 @@ def cotrain(data, rounds: int, sure: float, per_round: int) -> Model:
                 taught[1 - v].update({int(i): value for i, x in zip(order, np.sort(-way * odds, kind="stable"), strict=False) if -x >= limit})
     odds = [models[v].log_odds(scored(models[v], views[v], held)) for v in (0, 1)]
     mix = _logistic(np.stack([*_both(*odds), np.ones(len(held))], axis=1), label[held], 1e-3)
-    for m in models:
-        m.weights = {k: x for k, x in m.weights.items() if abs(x) > 1e-3}
+    for m, ids in zip(models, (text_ids, meta_ids), strict=True):
+        m.weights = {int(ids[k]): x for k, x in m.weights.items() if abs(x) > 1e-3}
     return Model(edges, models[0], models[1], mix)
 
 
