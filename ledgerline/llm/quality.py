@@ -29,6 +29,8 @@ PUNCTUATION = ".,;:!?()[]\"'"
 FEATURES, LEAST_CHI = 2048, 30.0
 #: Bins of each figure of the metadata view.
 BINS = 16
+#: Figures that layout() gives.
+FIGURES = 10
 #: Words whose features a worker remembers.
 MEMORY = 300_000
 
@@ -234,8 +236,8 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = 8000, pool: int = 30
 
 def cotrain(data, rounds: int, sure: float, per_round: int) -> Model:
     """data: ``doc_id, label (or null), source, lang, present, figures``."""
-    figures = np.array(data["figures"].tolist()).reshape(len(data), -1)
-    edges = [np.unique(np.quantile(col, np.arange(1, BINS) / BINS)) for col in figures.T] if len(data) else []
+    figures = np.array(data["figures"].tolist(), float).reshape(len(data), FIGURES)
+    edges = [np.unique(np.quantile(col, np.arange(1, BINS) / BINS)) if len(col) else np.zeros(0) for col in figures.T]
     text_ids, text = _dense([np.frombuffer(p, np.uint32) for p in data.pop("present")], LEAST_DOCUMENTS)
     meta_ids, meta = _dense([np.array(_meta_features(edges, s, g, f), np.uint32) for s, g, f in zip(data["source"], data["lang"], figures, strict=True)], 1)
     label = data["label"].to_numpy(float)
