@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 PUNCTUATION = ".,;:!?()[]\"'"
 #: Features of the text view that are kept, and the least chi-square by which they tell the classes apart.
-FEATURES, LEAST_CHI = 2048, 30.0
+FEATURES, LEAST_CHI = 2048, 15.0
 #: Bins of each figure of the metadata view.
 BINS = 16
 #: Figures that layout() gives.
@@ -141,7 +141,7 @@ def _fit(rows: list, y: np.ndarray, screen: bool, l2: float = 1e-3) -> Linear:
 
 
 #: A feature of fewer documents of the sample can't reach LEAST_CHI.
-LEAST_DOCUMENTS = 5
+LEAST_DOCUMENTS = 4
 
 
 def _dense(rows: list[np.ndarray], least: int) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -212,7 +212,7 @@ def _inputs(docs: DataFrame) -> DataFrame:
     return docs.select(*(F.col(c).cast(t).alias(c) for c, t in (("doc_id", "long"), ("text", "string"), ("lang", "string"), ("source", "string"), ("n_chars", "long"))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = 8000, pool: int = 3000, rounds: int = 3, sure: float = 0.95, per_round: int = 60) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = 5000, pool: int = 1500, rounds: int = 3, sure: float = 0.95, per_round: int = 60) -> Model:
     """Co-train on at most ``labelled`` labelled and ``pool`` unlabelled documents.
 
     Rows of labels with a null id, quality or toxic are ignored; of several labels of a document, it is
@@ -229,16 +229,23 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = 8000, pool: int = 30
     others = ids.distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(pool)
     free = rows.join(F.broadcast(others), "doc_id").withColumn("label", F.lit(None).cast("double"))
     shape = "doc_id long, label double, source string, lang string, present binary, figures array<double>"
-    data = some.unionByName(free).mapInArrow(_featurise, shape).toPandas()  # labelled + pool documents at most, copies of an id aside
-    data = data.sort_values(["doc_id", "present"]).drop_duplicates("doc_id").reset_index(drop=True)
-    return cotrain(data, rounds, sure, per_round)
-
-
-def cotrain(data, rounds: int, sure: float, per_round: int) -> Model:
-    """data: ``doc_id, label (or null), source, lang, present, figures``."""
+    table = some.unionByName(free).mapInArrow(_featurise, shape).toArrow()  # labelled + pool documents at most, copies of an id aside
+    present = table.column("present").combine_chunks()
+    present = present if isinstance(present, pa.Array) else present.chunk(0)
+    ends = np.frombuffer(present.buffers()[1], np.int32)[present.offset :][: len(present) + 1] if len(present) else np.zeros(1, np.int32)
+    found = [np.frombuffer(present.buffers()[2], np.uint32, (b - a) // 4, a) if b > a else np.zeros(0, np.uint32) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+    data = table.drop_columns(["present"]).to_pandas()
+    data["check"] = [zlib.crc32(x.tobytes()) for x in found]
+    data = data.sort_values(["doc_id", "check"]).drop_duplicates("doc_id")
+    found = [found[i] for i in data.index]
+    return cotrain(data.drop(columns="check").reset_index(drop=True), found, rounds, sure, per_round)
+
+
+def cotrain(data, present: list[np.ndarray], rounds: int, sure: float, per_round: int) -> Model:
+    """data: ``doc_id, label (or null), source, lang, figures``; present: each row's text features."""
     figures = np.array(data["figures"].tolist(), float).reshape(len(data), FIGURES)
     edges = [np.unique(np.quantile(col, np.arange(1, BINS) / BINS)) if len(col) else np.zeros(0) for col in figures.T]
-    text_ids, text = _dense([np.frombuffer(p, np.uint32) for p in data.pop("present")], LEAST_DOCUMENTS)
+    text_ids, text = _dense(present, LEAST_DOCUMENTS)
     meta_ids, meta = _dense([np.array(_meta_features(edges, s, g, f), np.uint32) for s, g, f in zip(data["source"], data["lang"], figures, strict=True)], 1)
     label = data["label"].to_numpy(float)
     marked = np.flatnonzero(~np.isnan(label))
