@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.llm.common import releasing
+
 
 def _rolling(batches):
     """Each conversation's turn digests, in order -> (conv_id, k, n, hash of the first k turns)."""
@@ -44,7 +46,7 @@ def _turns(conversations: DataFrame) -> DataFrame:
 def maximal(conversations: DataFrame) -> DataFrame:
     """``(conv_id, n_turns, n_copies)``: conversations that are no proper prefix of another, one of each group of equals."""
     by = F.array_sort(F.collect_list(F.struct("turn", "role", "digest")))
-    hashes = _turns(conversations).groupBy("conv_id").agg(by.alias("turns")).mapInArrow(_rolling, "conv_id long, k long, n long, hash binary")
+    hashes = _turns(conversations).groupBy("conv_id").agg(by.alias("turns")).mapInArrow(releasing(_rolling), "conv_id long, k long, n long, hash binary")
     prefixes = hashes.where("k < n").select("hash").distinct()
     whole = hashes.where("k = n").groupBy("hash").agg(F.min("conv_id").alias("conv_id"), F.first("n").alias("n_turns"), F.count(F.lit(1)).alias("n_copies"))
     return whole.join(prefixes, "hash", "left_anti").select("conv_id", "n_turns", "n_copies")

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +54,30 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     return out
 
 
+def small_batches(spark: SparkSession, most: int = 16 << 20) -> None:
+    """Let Arrow batches of this session hold 16 MB at most: a batch of whole texts is in memory several
+    times over, in the JVM and in Python. A smaller setting stays."""
+    now = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "64m").strip().lower()
+    size = int(now[:-1]) << {"b": 0, "k": 10, "m": 20, "g": 30}[now[-1]] if now[-1].isalpha() else int(now)
+    if size <= 0 or size > most:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
+
+
+def releasing(run):
+    """A function of batches that gives back the memory it has freed when a task ends: worker processes live on, idle."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def drop(df: DataFrame) -> None:
     """Remove the files of a table that materialize() wrote."""
     folder = getattr(df, "_written", None)

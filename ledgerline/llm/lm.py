@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import materialize
+from ledgerline.llm.common import materialize, releasing, small_batches
 
 BLOCK_TOKENS = 2_000_000
 END, START = b"\nend", b"\nstart"  # no word holds white space
@@ -265,10 +265,11 @@ def score(docs: DataFrame, order: int = 2, mu: float = 30.0) -> DataFrame:
     gives no rows, and without training documents all weights come from the 0.1 per word. docs must
     give the same rows in the same order when read twice (files do). Other columns are not looked at.
     """
+    small_batches(docs.sparkSession)
     spark, rows = docs.sparkSession, docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    asked = rows.mapInArrow(_ask(order, parts), ASK)
+    asked = rows.mapInArrow(releasing(_ask(order, parts)), ASK)
     answers = materialize(asked.groupBy("part").applyInArrow(_answer, ANSWER), "lm-answers")
     n_tokens, n_types = answers.where("block is null").agg(F.sum("n_tokens"), F.sum("n_types")).first()
-    blocks = rows.mapInArrow(_documents, ANSWER).union(answers.where("block is not null"))
+    blocks = rows.mapInArrow(releasing(_documents), ANSWER).union(answers.where("block is not null"))
     return blocks.groupBy("block").applyInArrow(_score(order, n_tokens or 0, n_types or 0, mu), SCORES)

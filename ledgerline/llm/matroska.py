@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.llm.common import releasing, small_batches
+
 # Element ids of the format.
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
 SEEK_HEAD, VOID, CRC32, TAGS, CHAPTERS, ATTACHMENTS = 0x114D9B74, 0xEC, 0xBF, 0x1254C367, 0x1043A770, 0x1941A469
@@ -287,8 +289,9 @@ def encode_texts(docs: DataFrame) -> DataFrame:
                 made = [padded(t.as_py()) for t in part.column(1)]
                 yield pa.record_batch({"doc_id": part.column(0), "n_bytes": pa.array([n for _, n in made], pa.int64()), "media": pa.array([write(p) for p, _ in made], pa.binary())})
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return rows.mapInArrow(releasing(run), "doc_id long, n_bytes long, media binary")
 
 
 PACKETS = "id long, track int, packet long, timestamp_ns long, cluster int, lacing int, keyframe boolean, offset long, size long, cued boolean"
@@ -316,7 +319,7 @@ def packet_table(media: DataFrame, key: str = "doc_id", column: str = "media") -
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    return media.select(F.col(key).cast("long").alias("id"), F.col(column).alias("media")).mapInArrow(run, PACKETS)
+    return media.select(F.col(key).cast("long").alias("id"), F.col(column).alias("media")).mapInArrow(releasing(run), PACKETS)
 
 
 DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -344,7 +347,7 @@ def digests(media: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[c.split()[0] for c in DIGEST.split(", ")])
 
-    return media.mapInArrow(run, DIGEST)
+    return media.mapInArrow(releasing(run), DIGEST)
 
 
 def store_and_digest(docs: DataFrame) -> DataFrame:

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.llm.common import releasing, small_batches
+
 PUNCTUATION = ".,;:!?()[]\"'"
 #: Features of the text view that are kept, and the least chi-square by which they tell the classes apart.
 FEATURES, LEAST_CHI = 2048, 15.0
@@ -32,7 +34,7 @@ BINS = 16
 #: Figures that layout() gives.
 FIGURES = 10
 #: Words whose features a worker remembers.
-MEMORY = 300_000
+MEMORY = 200_000
 
 
 def word_features(word: str) -> tuple[int, ...]:
@@ -198,17 +200,19 @@ def features_of(words: list[str]) -> np.ndarray:
 
 
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, texts, langs, sources, sizes, labels = (batch.column(c).to_pylist() for c in ("doc_id", "text", "lang", "source", "n_chars", "label"))
-        split = [_words(t) for t in texts]
-        present = [features_of(ws).astype(np.uint32) for ws in split]
-        yield pa.record_batch({
-            "doc_id": pa.array(ids, pa.int64()), "label": pa.array(labels, pa.float64()), "source": pa.array(sources, pa.string()), "lang": pa.array(langs, pa.string()),
-            "present": pa.array([x.tobytes() for x in present], pa.binary()), "figures": pa.array([layout(t, n, ws) for t, n, ws in zip(texts, sizes, split, strict=True)], pa.list_(pa.float64())),
-        })
+    for whole in batches:
+        for at in range(0, whole.num_rows, 100):
+            batch = whole.slice(at, 100)
+            ids, texts, langs, sources, sizes, labels = (batch.column(c).to_pylist() for c in ("doc_id", "text", "lang", "source", "n_chars", "label"))
+            split = [_words(t) for t in texts]
+            yield pa.record_batch({
+                "doc_id": pa.array(ids, pa.int64()), "label": pa.array(labels, pa.float64()), "source": pa.array(sources, pa.string()), "lang": pa.array(langs, pa.string()),
+                "present": pa.array([features_of(ws).astype(np.uint32).tobytes() for ws in split], pa.binary()), "figures": pa.array([layout(t, n, ws) for t, n, ws in zip(texts, sizes, split, strict=True)], pa.list_(pa.float64())),
+            })
 
 
 def _inputs(docs: DataFrame) -> DataFrame:
+    small_batches(docs.sparkSession)
     return docs.select(*(F.col(c).cast(t).alias(c) for c, t in (("doc_id", "long"), ("text", "string"), ("lang", "string"), ("source", "string"), ("n_chars", "long"))))
 
 
@@ -229,7 +233,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = 5000, pool: int = 15
     others = ids.distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(pool)
     free = rows.join(F.broadcast(others), "doc_id").withColumn("label", F.lit(None).cast("double"))
     shape = "doc_id long, label double, source string, lang string, present binary, figures array<double>"
-    table = some.unionByName(free).mapInArrow(_featurise, shape).toArrow()  # labelled + pool documents at most, copies of an id aside
+    table = some.unionByName(free).mapInArrow(releasing(_featurise), shape).toArrow()  # labelled + pool documents at most, copies of an id aside
     present = table.column("present").combine_chunks()
     present = present if isinstance(present, pa.Array) else present.chunk(0)
     ends = np.frombuffer(present.buffers()[1], np.int32)[present.offset :][: len(present) + 1] if len(present) else np.zeros(1, np.int32)
@@ -303,8 +307,11 @@ def _scored(model: Model):
         return text_odds, meta_odds, model.combined(text_odds, meta_odds)
 
     def run(batch: pa.RecordBatch) -> np.ndarray:
-        columns = [batch.column(c).to_pylist() for c in ("text", "lang", "source", "n_chars")]
-        return np.array([one(*x) for x in zip(*columns, strict=True)], float).reshape(-1, 3)
+        out = []
+        for at in range(0, batch.num_rows, 500):
+            some = batch.slice(at, 500)
+            out += [one(*x) for x in zip(*(some.column(c).to_pylist() for c in ("text", "lang", "source", "n_chars")), strict=True)]
+        return np.array(out, float).reshape(-1, 3)
 
     return run
 
@@ -323,7 +330,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
             p = 1 / (1 + np.exp(-np.clip(of(batch), -500, 500)))
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "p_text": pa.array(p[:, 0]), "p_metadata": pa.array(p[:, 1]), "p_good": pa.array(p[:, 2]), "keep": pa.array(p[:, 2] >= threshold)})
 
-    return _inputs(docs).mapInArrow(run, SCORES)
+    return _inputs(docs).mapInArrow(releasing(run), SCORES)
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
@@ -337,5 +344,6 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFram
             part = pa.record_batch([row.field(n).cast(t) for n, t in (("text", pa.string()), ("lang", pa.string()), ("source", pa.string()), ("n_chars", pa.int64()))], names=["text", "lang", "source", "n_chars"])
             yield batch.filter(pa.array(of(part)[:, 2] >= limit))
 
+    small_batches(docs.sparkSession)
     packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
-    return packed.mapInArrow(run, packed.schema).select([F.col(f"row.`{c}`") for c in docs.columns])
+    return packed.mapInArrow(releasing(run), packed.schema).select([F.col(f"row.`{c}`") for c in docs.columns])

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import connected_components, materialize
+from ledgerline.llm.common import connected_components, materialize, releasing, small_batches
 
 SEED = 42
 #: Cost of a row sent, as comparisons of two fingerprints.
@@ -78,8 +78,9 @@ def _fingerprints(size: int):
 
 def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
     """``(doc_id, fp)``: the fingerprint as a signed long. A null or wordless text has fingerprint 0."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_fingerprints(size), "doc_id long, fp long")
+    return rows.mapInArrow(releasing(_fingerprints(size)), "doc_id long, fp long")
 
 
 # --- the plan: bit groups and thresholds ---------------------------------------------------------
@@ -103,7 +104,7 @@ def bit_counts(fps: DataFrame) -> tuple[int, np.ndarray]:
         if n:
             yield pa.record_batch({"i": pa.array(range(64), pa.int32()), "both": pa.array(total.tolist(), pa.list_(pa.float64())), "n": pa.array([n] * 64, pa.int64())})
 
-    each = fps.select("fp").mapInArrow(run, "i int, both array<double>, n long").select("i", "n", F.posexplode("both").alias("j", "both"))
+    each = fps.select("fp").mapInArrow(releasing(run), "i int, both array<double>, n long").select("i", "n", F.posexplode("both").alias("j", "both"))
     found = each.groupBy("i", "j").agg(F.sum("both").alias("both"), F.sum("n").alias("n")).collect()  # 4,096 rows
     both = np.zeros((64, 64))
     for r in found:
@@ -200,7 +201,7 @@ def make_plan(fps: DataFrame, max_bits: int, share: float = 1.0) -> tuple[list[l
             held = np.flatnonzero(c)
             yield pa.record_batch({"k": pa.array(np.full(len(held), k), pa.int32()), "value": pa.array(held, pa.int32()), "n": pa.array(c[held], pa.int64())})
 
-    found = fps.select("fp").mapInArrow(run, "k int, value int, n long").groupBy("k", "value").agg(F.sum("n").alias("n"))
+    found = fps.select("fp").mapInArrow(releasing(run), "k int, value int, n long").groupBy("k", "value").agg(F.sum("n").alias("n"))
     table = found.toPandas()  # a count for each of 65,536 values of a group at most
     cost = []
     for k, g in enumerate(groups):
@@ -348,7 +349,7 @@ def near_links(fps: DataFrame, max_bits: int, banded: bool = False, pairs: bool
         share = sum(c * (c + 2 * sizes.get(b + 1, 0)) for b, c in sizes.items()) / n**2
     groups, thresholds = make_plan(fps, max_bits, share)
     rows = fps.select("fp", F.col("band").cast("int").alias("band")) if banded else fps.select("fp")
-    made = rows.mapInArrow(_signatures(groups, thresholds, banded), "part int, band int, value long, side byte, fp long")
+    made = rows.mapInArrow(releasing(_signatures(groups, thresholds, banded)), "part int, band int, value long, side byte, fp long")
     held = materialize(made.where("side <> 1").groupBy("part", "band", "value").count().where(F.col("count") > HOT), "hot-values")
     if held.take(1):
         # Hot values: looked-up rows go to one of several tasks, looking rows to all of them.
@@ -366,7 +367,7 @@ def near_links(fps: DataFrame, max_bits: int, banded: bool = False, pairs: bool
         made = made.withColumn("salt", F.lit(0))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = made.repartition(n, "part", "band", "value", "salt").sortWithinPartitions("part", "band", "value", "salt", "side")
-    return dealt.mapInArrow(_compare(max_bits, pairs), "src long, dst long")
+    return dealt.mapInArrow(releasing(_compare(max_bits, pairs)), "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, max_bits: int = 3) -> DataFrame:
@@ -495,11 +496,12 @@ def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8, max_bit
     Texts without words (null, empty) are copies of one another. Of rows equal in id and text one stays.
     Columns and their names stay as they are.
     """
+    small_batches(docs.sparkSession)
     columns = docs.columns
     text = F.col("row.text").cast("string")
     packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in columns]).alias("row"))
     keyed = packed.select(F.col("row.doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(F.coalesce(text, F.lit("")))).alias("key"), text.alias("text"), "row")
-    rows = materialize(keyed.select("doc_id", "key", "text").mapInArrow(_text_rows, "doc_id long, key binary, fp long, band int"), "dedup-rows")
+    rows = materialize(keyed.select("doc_id", "key", "text").mapInArrow(releasing(_text_rows), "doc_id long, key binary, fp long, band int"), "dedup-rows")
     # min of a struct: a null id is taken only where there is no other.
     texts = rows.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id")).alias("least"), F.first("fp").alias("fp"), F.first("band").alias("band"))
     texts = materialize(texts.select("key", F.col("least.doc_id").alias("doc_id"), "fp", "band"), "dedup-texts")
@@ -516,7 +518,7 @@ def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8, max_bit
         # A component of many texts is dealt to several tasks, anew in each round.
         parts = F.ceil(F.col("members") / BLOCK_TEXTS).cast("int")
         dealt = members.withColumn("part", F.pmod(F.xxhash64("key", F.lit(turn)), parts)).repartition(n, "component", "part").sortWithinPartitions("component", "part", "doc_id")
-        found = materialize(dealt.select("component", "doc_id", "key", "fp", "text").mapInArrow(_verify(max_bits, size, similarity), "component long, key binary, leader binary"), "dedup-sets")
+        found = materialize(dealt.select("component", "doc_id", "key", "fp", "text").mapInArrow(releasing(_verify(max_bits, size, similarity)), "component long, key binary, leader binary"), "dedup-sets")
         joined = found.where("key <> leader").select(F.col("key").alias("src"), F.col("leader").alias("dst"))
         edges = joined if edges is None else edges.union(joined)
         leaders = found.where("key = leader").select("component", "key")

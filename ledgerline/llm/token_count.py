@@ -22,6 +22,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.llm.common import releasing, small_batches
+
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 MEMORY = 1_000_000
@@ -132,5 +134,6 @@ def count_tokens(docs: DataFrame, pieces: dict[str, float] | None = None) -> Dat
         import public_tokenizers
 
         pieces = pieces_of(public_tokenizers.path(MODEL))
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_counter(pieces), "doc_id long, n_words long, n_tokens long")
+    return rows.mapInArrow(releasing(_counter(pieces)), "doc_id long, n_words long, n_tokens long")

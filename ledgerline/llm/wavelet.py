@@ -29,17 +29,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import new_folder
+from ledgerline.llm.common import new_folder, releasing, small_batches
 
 MAGIC = b"LWM1"
 #: Bits whose ones one count covers.
 RANK_BLOCK = 512
 #: A shard's file is closed at this many tokens; a longer document has a file of its own.
-SHARD_TOKENS = 4_000_000
+SHARD_TOKENS = 2_000_000
 #: Distinct pieces of text whose ids a worker remembers.
-MEMORY = 600_000
+MEMORY = 300_000
 #: Bytes of text encoded at once, about.
-TEXT_BYTES = 8_000_000
+TEXT_BYTES = 6_000_000
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
 
 
@@ -323,6 +323,7 @@ def write_tokens(docs: DataFrame, folder: str | None = None, tokenizer: str | No
     import public_tokenizers
 
     spark = docs.sparkSession
+    small_batches(spark)
     folder = folder or new_folder(spark, "tokens")
     with open(tokenizer or public_tokenizers.path(TOKENIZER), "rb") as f:
         model = f.read()
@@ -330,7 +331,7 @@ def write_tokens(docs: DataFrame, folder: str | None = None, tokenizer: str | No
     n = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # The hash spreads rows of one id, should a third of them share it.
     ordered = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
-    written = ordered.mapInArrow(_writer(folder, model, end_id), "name string, docs long, tokens long")
+    written = ordered.mapInArrow(releasing(_writer(folder, model, end_id)), "name string, docs long, tokens long")
     files = sorted(written.collect())  # a row for each SHARD_TOKENS tokens
     bases = np.cumsum([0] + [f.tokens for f in files])
     index = [(f.name, f.docs, f.tokens, int(b)) for f, b in zip(files, bases, strict=False)]
@@ -345,12 +346,12 @@ def _open(spark: SparkSession, folder: str, index: DataFrame) -> DataFrame:
 
 def read_tokens(spark: SparkSession, folder: str, index: DataFrame) -> DataFrame:
     """``(doc_id, start, n_tokens, ids)`` for each document, from the files. ids: little-endian u32, as bytes."""
-    return _open(spark, folder, index).mapInArrow(_reader(True), "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary").select("doc_id", "start", "n_tokens", "ids")
+    return _open(spark, folder, index).mapInArrow(releasing(_reader(True)), "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary").select("doc_id", "start", "n_tokens", "ids")
 
 
 def check_tokens(spark: SparkSession, folder: str, index: DataFrame) -> DataFrame:
     """``(doc_id, start, n_tokens, ids_crc32)`` for each document, from the files."""
-    return _open(spark, folder, index).mapInArrow(_reader(False), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return _open(spark, folder, index).mapInArrow(releasing(_reader(False)), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def _reader(with_ids: bool):
@@ -381,7 +382,7 @@ def occurrences(spark: SparkSession, folder: str, index: DataFrame, token: int)
                 doc = np.searchsorted(shard.ends, found, "right")
                 yield pa.record_batch({"doc_id": pa.array([shard.doc_ids[i] for i in doc], pa.int64()), "position": pa.array(found + base, pa.int64())})
 
-    return _open(spark, folder, index).mapInArrow(run, "doc_id long, position long")
+    return _open(spark, folder, index).mapInArrow(releasing(run), "doc_id long, position long")
 
 
 def token_counts(spark: SparkSession, folder: str, index: DataFrame, tokens: list[int]) -> DataFrame:
@@ -393,7 +394,7 @@ def token_counts(spark: SparkSession, folder: str, index: DataFrame, tokens: lis
                 shard = Shard(data.as_py())
                 yield pa.record_batch({"token": pa.array(tokens, pa.int64()), "n": pa.array([shard.ids.count(t) for t in tokens], pa.int64())})
 
-    return _open(spark, folder, index).mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return _open(spark, folder, index).mapInArrow(releasing(run), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
 def tokenize(docs: DataFrame, **how) -> DataFrame:
