@@ -180,8 +180,8 @@ def _values(fps: np.ndarray, group: list[int]) -> np.ndarray:
     return out
 
 
-def make_plan(fps: DataFrame, max_bits: int, share: float = 1.0) -> tuple[list[list[int]], list[int]]:
-    """Bit groups and their thresholds; share: of all pairs, those that may meet (in bands)."""
+def make_plan(fps: DataFrame, max_bits: int, share: float = 1.0) -> tuple[list[list[int]], list[int], float]:
+    """Bit groups, their thresholds, and a bound on the looked-up rows at a value; share: of all pairs, those that may meet (in bands)."""
     n, both = bit_counts(fps)
 
     def even(m: int) -> float:
@@ -203,17 +203,19 @@ def make_plan(fps: DataFrame, max_bits: int, share: float = 1.0) -> tuple[list[l
 
     found = fps.select("fp").mapInArrow(releasing(run), "k int, value int, n long").groupBy("k", "value").agg(F.sum("n").alias("n"))
     table = found.toPandas()  # a count for each of 65,536 values of a group at most
-    cost = []
+    cost, largest = [], []
     for k, g in enumerate(groups):
         counted, mine = min(len(g), COUNTED_BITS), table[table.k == k]
         counts = np.bincount(mine["value"].to_numpy(np.int64), weights=mine["n"].to_numpy(float), minlength=1 << counted)
         pairs = pairs_by_distance(counts)
+        largest.append(counts.max())
         rest = len(g) - counted  # further bits, as if spread evenly
         if rest:
             pairs = np.convolve(pairs, [comb(rest, d) / 2.0**rest for d in range(rest + 1)])
         upto = np.cumsum(pairs)
         cost.append([0.0] + [ROW_COST * n * rows_sent(len(g), t) + share * upto[min(t, len(upto) - 1)] for t in range(max_bits + 1)])
-    return groups, allot(cost, max_bits - m + 1)[1]
+    thresholds = allot(cost, max_bits - m + 1)[1]
+    return groups, thresholds, max((c * near(len(g), t // 2) for g, t, c in zip(groups, thresholds, largest, strict=True)), default=0)
 
 
 # --- candidates --------------------------------------------------------------------------------
@@ -347,11 +349,11 @@ def near_links(fps: DataFrame, max_bits: int, banded: bool = False, pairs: bool
         sizes = dict(fps.groupBy("band").count().collect())  # a row for each quarter's growth in length
         n = max(1, sum(sizes.values()))
         share = sum(c * (c + 2 * sizes.get(b + 1, 0)) for b, c in sizes.items()) / n**2
-    groups, thresholds = make_plan(fps, max_bits, share)
+    groups, thresholds, most = make_plan(fps, max_bits, share)
     rows = fps.select("fp", F.col("band").cast("int").alias("band")) if banded else fps.select("fp")
     made = rows.mapInArrow(releasing(_signatures(groups, thresholds, banded)), "part int, band int, value long, side byte, fp long")
-    held = materialize(made.where("side <> 1").groupBy("part", "band", "value").count().where(F.col("count") > HOT), "hot-values")
-    if held.take(1):
+    held = materialize(made.where("side <> 1").groupBy("part", "band", "value").count().where(F.col("count") > HOT), "hot-values") if most > HOT else None
+    if held is not None and held.take(1):
         # Hot values: looked-up rows go to one of several tasks, looking rows to all of them.
         n = F.ceil(F.col("count") / HOT).cast("int")
         joined = made.join(held, ["part", "band", "value"], "left")
