@@ -153,7 +153,8 @@ def _ask(order: int, parts: int):
         for block_id, _, _, block in _blocks(batches, order):
             cuts = [block.cuts(k, parts) for k in range(order)]
             rows = []
-            for p in range(parts):
+            held = np.flatnonzero(np.any([c[1:] > c[:-1] for c in cuts], axis=0))  # parts that own some n-gram of the block
+            for p in held.tolist():
                 slices = [_pack(block.hashes[k][c[p] : c[p + 1]], block.counts[k][c[p] : c[p + 1]]) for k, c in enumerate(cuts)]
                 rows.append((p, block_id, block.check, slices[0], b"".join(len(s).to_bytes(4, "little") + s for s in slices[1:])))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
@@ -256,6 +257,17 @@ def _score(order: int, n_tokens: int, n_types: int, mu: float):
     return run
 
 
+#: Input bytes a model part, about, and parts at most; a session's shuffle partitions set the least.
+PART_BYTES, MOST_PARTS = 8 << 20, 200_000
+
+
+def _parts(docs: DataFrame) -> int:
+    """Model parts, by the input's size as the planner knows it from the files."""
+    least = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return max(least, min(size // PART_BYTES, MOST_PARTS)) if size < 1 << 50 else least  # unknown sizes are given as the largest number
+
+
 def score(docs: DataFrame, order: int = 2, mu: float = 30.0) -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` for each document.
 
@@ -267,7 +279,7 @@ def score(docs: DataFrame, order: int = 2, mu: float = 30.0) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     spark, rows = docs.sparkSession, docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = _parts(rows)
     asked = rows.mapInArrow(releasing(_ask(order, parts)), ASK)
     answers = materialize(asked.groupBy("part").applyInArrow(_answer, ANSWER), "lm-answers")
     n_tokens, n_types = answers.where("block is null").agg(F.sum("n_tokens"), F.sum("n_types")).first()
