@@ -264,7 +264,7 @@ PART_BYTES, MOST_PARTS = 8 << 20, 200_000
 def _parts(docs: DataFrame) -> int:
     """Model parts, by the input's size as the planner knows it from the files."""
     least = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return max(least, min(size // PART_BYTES, MOST_PARTS)) if size < 1 << 50 else least  # unknown sizes are given as the largest number
 
 
