@@ -63,17 +63,22 @@ def small_batches(spark: SparkSession, most: int = 16 << 20) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
 
 
+def release_memory() -> None:
+    """Give memory that was freed back to the machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def releasing(run):
-    """A function of batches that gives back the memory it has freed when a task ends: worker processes live on, idle."""
+    """A function of batches that gives back what it has freed when a task ends: worker processes live on, idle."""
 
     def wrapped(batches):
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # not every C library has it
-                ctypes.CDLL(None).malloc_trim(0)
+            release_memory()
 
     return wrapped
 

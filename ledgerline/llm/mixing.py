@@ -70,6 +70,7 @@ def thresholds(rows: DataFrame, targets: DataFrame) -> DataFrame:
         edge = edge.select("s", F.col("bucket").alias("prefix_"), (F.col("rest") - (F.col("upto") - F.col("sum"))).alias("rest_"), F.col("sum").alias("sum_"))
         found = found.join(edge, found["source"].eqNullSafe(edge["s"]), "left")
         found = found.select("source", "source_size", "target", "copies", F.col("rest_").alias("rest"), F.col("prefix_").alias("prefix"), F.col("sum_").alias("last"))
+        found = materialize(found, "mix-level")  # a row a source; plans stay small
     return found.select("source", "source_size", "target", "copies", F.col("prefix").alias("cut"), (F.col("last") - F.col("rest") < F.col("rest")).alias("at_cut"))
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import releasing, small_batches
+from ledgerline.llm.common import release_memory, releasing, small_batches
 
 PUNCTUATION = ".,;:!?()[]\"'"
 #: Features of the text view that are kept, and the least chi-square by which they tell the classes apart.
@@ -242,7 +242,10 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = 5000, pool: int = 15
     data["check"] = [zlib.crc32(x.tobytes()) for x in found]
     data = data.sort_values(["doc_id", "check"]).drop_duplicates("doc_id")
     found = [found[i] for i in data.index]
-    return cotrain(data.drop(columns="check").reset_index(drop=True), found, rounds, sure, per_round)
+    model = cotrain(data.drop(columns="check").reset_index(drop=True), found, rounds, sure, per_round)
+    del table, present, ends, found, data
+    release_memory()
+    return model
 
 
 def cotrain(data, present: list[np.ndarray], rounds: int, sure: float, per_round: int) -> Model:
