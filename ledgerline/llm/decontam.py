@@ -20,7 +20,7 @@ from ledgerline.llm.common import ascii_lower, materialize
 
 #: What lies between words, in a text whose A-Z are lower-case.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-MAX_BROADCAST = 1_000_000
+MAX_BROADCAST = 200_000
 NO_ITEMS = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"  # sha256 of nothing
 
 
