@@ -107,9 +107,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Alternates large-star and small-star steps (each a minimum per node and a join back) until the
     edges no longer change; every node then points at the smallest node that it can reach. Nodes of
-    no edge to another node are not returned. Nulls are ignored. Each round is written to the shared
-    folder, so a lost executor costs at most one round. A hub's rows are combined before the shuffle
-    that finds its minimum; the join back is a plain equi-join that adaptive execution can split.
+    no edge to another node are not returned. Nulls are ignored. Each step is written to the shared
+    folder, so a lost executor costs at most one step. A hub's rows are combined before the shuffle
+    that finds its minimum. The minima are read back from files for the join, so that both sides of it
+    are shuffled for it alone, and adaptive execution can deal a hub's rows to several tasks.
     """
     pairs = edges.where(F.col("src") != F.col("dst")).select(
         F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")
@@ -121,15 +122,16 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
         last = seen
         both = state.union(state.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc-minima")
         large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where(F.col("u") != F.col("v")).distinct()
-        small = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = materialize(large.where(F.col("u") != F.col("v")).distinct(), "cc-large")
+        small = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "cc-minima")
         joined = large.join(small, "u")
         new = joined.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = new.union(small.select("u", F.col("m").alias("v"))).distinct()
         old, state = state, materialize(new, "cc")
-        drop(old)
+        for done in (old, least, large, small):
+            drop(done)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     root = state.groupBy("u").agg(F.min("v").alias("v"))
