@@ -57,7 +57,8 @@ def _suspects(docs: DataFrame, windows: DataFrame, lengths: list[int]) -> DataFr
             F.explode(F.transform(F.sequence(F.lit(1), F.lit(stride)), lambda i: F.xxhash64(F.slice(w, i, words)))).alias("mark")
         )
         starts = F.sequence(F.lit(1), F.size("w") - words + 1, F.lit(stride))
-        runs = docs.where(F.size("w") >= length).select("key", F.explode(F.transform(starts, lambda i: F.xxhash64(F.slice("w", i, words)))).alias("mark"))
+        # The outer form: for the inner one the optimizer would infer a filter that hashes every run once more.
+        runs = docs.where(F.size("w") >= length).select("key", F.explode_outer(F.transform(starts, lambda i: F.xxhash64(F.slice("w", i, words)))).alias("mark"))
         hits = runs.join(_small(marks.distinct()), "mark", "left_semi").select("key")
         found = hits if found is None else found.union(hits)
     return found.distinct()
@@ -69,7 +70,7 @@ def _spans(texts: DataFrame, windows: DataFrame, lengths: list[int]) -> DataFram
     for length in lengths:
         mine = windows.where(F.col("length") == length).select("gram", "items")
         at = F.transform(F.sequence(F.lit(1), F.size("w") - length + 1), lambda i: F.struct(i.alias("start"), F.array_join(F.slice("w", i, length), " ").alias("gram")))
-        runs = texts.where(F.size("w") >= length).select("key", F.inline(at))
+        runs = texts.where(F.size("w") >= length).select("key", F.inline_outer(at))
         hits = runs.join(_small(mine), "gram").select("key", "start", F.lit(length).alias("length"), "items")
         found = hits if found is None else found.union(hits)
     return found
