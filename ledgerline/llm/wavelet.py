@@ -205,10 +205,11 @@ class _Pieces(dict):
 
     def __missing__(self, piece: str) -> bytes:
         # Latin letters and then perhaps end marks are two units to the tokenizer: the letters go to its model
-        # directly, lower-cased and with bytes as letters, which is what its own first steps make of them.
+        # directly, lower-cased and with bytes as letters, which is what its own first steps make of them. Some
+        # Latin capitals have their small letters beyond the table of letters (U+018F is one): those are encoded whole.
         core = piece.rstrip(TAIL)
         low = core.lower()
-        if low.isalpha() and core.isalpha() and (core.isascii() or max(core) < "\u0250"):
+        if low.isalpha() and core.isalpha() and (core.isascii() or max(core) < "\u0250" and max(low) < "\u0250"):
             word = low if low.isascii() else "".join([self.letters.get(c, c) for c in low])
             found = array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
             tail = piece[len(core) :]

@@ -168,6 +168,19 @@ def test_token_files(spark, monkeypatch):
     assert sorted(r.position for r in wavelet.occurrences(spark, folder, index, token).collect()) == [i for i, x in enumerate(flat) if x == token]
 
 
+def test_every_latin_letter_as_the_library_encodes_it():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    with open(path, "rb") as f:
+        encoder = wavelet.Encoder(f.read())
+    words = [w for c in range(0x80, 0x250) for w in (chr(c), f"{chr(c)}li", f"a{chr(c)}.", f"{chr(c)}{chr(c)}")]
+    for word, ids in zip(words, encoder.encode(words), strict=True):
+        assert ids.tolist() == library.encode(word, add_special_tokens=False).ids, word
+
+
 def test_token_counts(spark):
     from tokenizers import Tokenizer, models
 
