@@ -227,7 +227,7 @@ def _flips(width: int, t: int) -> np.ndarray:
 
 
 def _signatures(groups: list[list[int]], thresholds: list[int], banded: bool):
-    """A row for each value at which a fingerprint is to be met. side 0 is looked up, side 1 looks; at threshold 0 one row does both."""
+    """A row for each value at which a fingerprint is to be met. side 0 is looked up, side 1 looks; at threshold 0 one row does both (side 2)."""
 
     def run(batches):
         for batch in batches:
@@ -273,7 +273,7 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _compare(max_bits: int, pairs_wanted: bool):
-    """Sorted signature rows to links. A value's looked-up rows stand before the looking ones, and are kept
+    """Sorted signature rows to links. A value's looked-up rows (sides 0 and 2) stand before those that only look, and are kept
     while the latter stream by, CHUNK comparisons at a time; what is kept is one value's share of one task."""
 
     def links(index_fp, looking_fp, first, n, both_sides):
@@ -368,7 +368,7 @@ def near_links(fps: DataFrame, max_bits: int, banded: bool = False, pairs: bool
     else:
         made = made.withColumn("salt", F.lit(0))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = made.repartition(n, "part", "band", "value", "salt").sortWithinPartitions("part", "band", "value", "salt", "side")
+    dealt = made.repartition(n, "part", "band", "value", "salt").sortWithinPartitions("part", "band", "value", "salt", F.col("side") == 1)
     return dealt.mapInArrow(releasing(_compare(max_bits, pairs)), "src long, dst long")
 
 

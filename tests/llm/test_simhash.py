@@ -69,6 +69,25 @@ def test_links_against_all_pairs(spark, monkeypatch, max_bits, hot):
     assert got == {tuple(sorted((signed[i], signed[j]))) for i in range(len(fps)) for j in range(i) if bin(fps[i] ^ fps[j]).count("1") <= max_bits}
 
 
+@pytest.mark.parametrize("hot", [50_000, 3])
+def test_banded_links_across_batches(spark, monkeypatch, hot):
+    monkeypatch.setattr(S, "HOT", hot)
+    rng = random.Random(8)
+    high = [rng.getrandbits(32) << 32 for _ in range(4)]
+    rows = sorted({(int(np.uint64(h | 1 << rng.randrange(32) | 1 << rng.randrange(32)).astype(np.int64)), rng.randrange(3)) for h in high for _ in range(30)})
+    df = spark.createDataFrame(rows, "fp long, band int")
+    # One group of threshold 0 in which many fingerprints are equal, and one that is not probed.
+    monkeypatch.setattr(S, "make_plan", lambda *a: ([list(range(32)), list(range(32, 64))], [0, -1], 30))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {tuple(sorted((r.src, r.dst))) for r in S.near_links(df, 4, banded=True, pairs=True).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = {tuple(sorted((a, b))) for a, i in rows for b, j in rows if a != b and abs(i - j) <= 1 and a >> 32 == b >> 32 and bin((a ^ b) & (1 << 64) - 1).count("1") <= 4}
+    assert got == want
+
+
 def test_components_against_all_pairs(spark):
     rng = random.Random(5)
     base = [[f"w{rng.randrange(300)}" for _ in range(rng.randrange(2, 400))] for _ in range(25)]
