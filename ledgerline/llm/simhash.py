@@ -18,6 +18,9 @@ Equal fingerprints are folded first, so that a group of copies is one row howeve
 value, comparisons are emitted as a spanning forest, not as pairs. Values held by many fingerprints are
 dealt to several tasks. No links, components or fingerprints come to the driver; what does is counts:
 64 x 64 of bits, and at most 65,536 for a group.
+
+The pipeline's stage (one_of_each) asks for all pairs of a Jaccard similarity, which fingerprints only find
+with some chance; it joins shingle sets by their rarest shingles instead.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import connected_components, materialize, releasing, small_batches
@@ -394,106 +397,119 @@ def near_duplicates(docs: DataFrame, size: int = 3, max_bits: int = 3) -> DataFr
 
 # --- one document of each group -------------------------------------------------------------------
 
-#: Texts, and shingles of them, that are compared with one another at once.
-BLOCK_TEXTS, BLOCK_SHINGLES = 4000, 6_000_000
-
-
-def _text_rows(batches):
-    """(doc_id, text key, text) -> fingerprint of 3-word shingles, and band: quarters' growth in the number of distinct ones."""
-    for batch in batches:
-        fps, bands = [], []
-        for t in batch.column(2):
-            h = shingle_hashes(tokens_of(t.as_py()), 3)
-            fps.append(fingerprint(h))
-            bands.append(int(np.log(max(1, len(np.unique(h)))) / np.log(1.25)))
-        yield pa.record_batch({"doc_id": batch.column(0), "key": batch.column(1), "fp": pa.array(np.array(fps, np.uint64).view(np.int64)), "band": pa.array(bands, pa.int32())})
-
-
-class _Sets:
-    """Texts of a block in sets: a text joins every set that has one similar to it."""
-
-    def __init__(self, max_bits: int, size: int, similarity: float):
-        self.max_bits, self.size, self.similarity = max_bits, size, similarity
-        self.fps, self.shingles, self.root, self.names, self.total = np.zeros(256, np.uint64), [], [], [], 0
-
-    def find(self, i: int) -> int:
-        while self.root[i] != i:
-            self.root[i] = self.root[self.root[i]]
-            i = self.root[i]
-        return i
-
-    def similar(self, a: np.ndarray, b: np.ndarray) -> bool:
-        small, large = sorted((len(a), len(b)))
-        if small < self.similarity * large:
-            return False
-        if not large:
-            return True
-        both = len(np.intersect1d(a, b, assume_unique=True))
-        return both >= self.similarity * (len(a) + len(b) - both)
-
-    def add(self, name, fp: np.uint64, text: str | None) -> None:
-        mine, i = np.unique(shingle_hashes(tokens_of(text), self.size)), len(self.names)
-        near_ = np.flatnonzero(np.bitwise_count(self.fps[:i] ^ fp) <= self.max_bits)
-        if i == len(self.fps):
-            self.fps = np.concatenate((self.fps, np.zeros_like(self.fps)))
-        self.fps[i] = fp
-        self.names.append(name)
-        self.root.append(i)
-        self.shingles.append(mine)
-        self.total += len(mine)
-        for j in near_:
-            a, b = self.find(i), self.find(int(j))
-            if a != b and self.similar(mine, self.shingles[j]):
-                a, b = sorted((a, b), key=lambda x: self.names[x])
-                self.root[b] = a  # the least name leads
-
-
-def _verify(max_bits: int, size: int, similarity: float):
-    """Sorted rows of (component, order, key, fp, text) -> (component, key, leader, blocks): each text's set in its block."""
+#: Texts compared with one text in a task.
+BLOCK_TEXTS = 4000
+#: Counters of shingles, and the slices in which tasks send them.
+COUNTERS, SLICES = 1 << 20, 64
+
+
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    return np.unique(shingle_hashes(tokens_of(text), size))
+
+
+def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sets have this Jaccard similarity or more."""
+    small, large = sorted((len(a), len(b)))
+    if small < similarity * large:
+        return False
+    if not large:
+        return True
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (len(a) + len(b) - both)
+
+
+def shingle_levels(texts: DataFrame, size: int) -> np.ndarray:
+    """How often shingles occur, by the low bits of their hash, in quarters of a doubling; counted in a quarter of
+    the texts. It only orders shingles, rare ones first: any order would lead to the same pairs."""
+
+    def count(batches):
+        total, any_ = np.zeros(COUNTERS, np.int32), False
+        for batch in batches:
+            for t in batch.column(0):
+                np.add.at(total, (shingle_set(t.as_py(), size) & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
+                any_ = True
+        if any_:
+            yield pa.record_batch({"slice": pa.array(range(SLICES), pa.int32()), "counts": pa.array([c.tobytes() for c in np.split(total, SLICES)], pa.binary())})
+
+    def add(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, c in zip(batch.column(0), batch.column(1), strict=True):
+                total[k.as_py()] = total.get(k.as_py(), 0) + np.frombuffer(c.as_py(), np.int32).astype(np.int64)
+        if total:
+            levels = [np.minimum(255, 4 * np.log2(1 + c)).astype(np.uint8).tobytes() for c in total.values()]
+            yield pa.record_batch({"slice": pa.array(list(total), pa.int32()), "levels": pa.array(levels, pa.binary())})
+
+    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(4)) == 0).select("text")
+    counted = some.mapInArrow(releasing(count), "slice int, counts binary").repartition(SLICES, "slice")
+    levels = np.zeros((SLICES, COUNTERS // SLICES), np.uint8)
+    for r in counted.mapInArrow(releasing(add), "slice int, levels binary").collect():  # a megabyte in all
+        levels[r.slice] = np.frombuffer(r.levels, np.uint8)
+    return levels.ravel()
+
+
+def _prefixes(size: int, similarity: float, levels: np.ndarray):
+    """(doc_id, key, text) -> the hash of the text's shingle set, the set's size and its prefix: so many of its
+    rarest shingles that a similar set must hold one of them."""
 
     def run(batches):
-        now, sets, blocks, out = None, None, 0, []
+        for batch in batches:
+            nodes, sizes, prefixes = [], [], []
+            for t in batch.column(2):
+                mine = shingle_set(t.as_py(), size)
+                n = len(mine)
+                nodes.append(xxhash.xxh64_intdigest(mine.tobytes(), SEED))
+                sizes.append(n)
+                order = np.argsort(levels[(mine & np.uint64(COUNTERS - 1)).astype(np.int64)], kind="stable")
+                prefixes.append(mine[order[: n - int(np.ceil(similarity * n - 1e-9)) + 1]].view(np.int64))
+            yield pa.record_batch({
+                "doc_id": batch.column(0), "key": batch.column(1), "node": pa.array(np.array(nodes, np.uint64).view(np.int64)),
+                "size": pa.array(sizes, pa.int32()), "prefix": pa.array(prefixes, pa.list_(pa.int64())),
+            })
+
+    return run
 
-        def close():
-            for i, (_, key) in enumerate(sets.names):
-                out.append((now, key, sets.names[sets.find(i)][1]))
 
-        def rows():
-            data = pa.record_batch({"component": pa.array([r[0] for r in out], pa.int64()), "key": pa.array([r[1] for r in out], pa.binary()), "leader": pa.array([r[2] for r in out], pa.binary())})
-            out.clear()
-            return data
+def _similar_pairs(size: int, similarity: float):
+    """Sorted rows (a, part, b, text), a's own text first with b null -> (src, dst) for each b similar to its a."""
 
+    def run(batches):
+        mine = None
         for batch in batches:
-            for at in range(batch.num_rows):
-                component = batch.column(0)[at].as_py()
-                if component != now or len(sets.names) >= BLOCK_TEXTS or sets.total >= BLOCK_SHINGLES:
-                    if sets is not None:
-                        close()
-                    now, sets = component, _Sets(max_bits, size, similarity)
-                    if len(out) > 5000:
-                        yield rows()
-                doc_id = batch.column(1)[at].as_py()
-                key = batch.column(2)[at].as_py()
-                sets.add(((doc_id is None, doc_id or 0), key), np.int64(batch.column(3)[at].as_py()).astype(np.uint64), batch.column(4)[at].as_py())
-        if sets is not None:
-            close()
-        if out:
-            yield rows()
+            found = []
+            for a, b, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                theirs = shingle_set(t.as_py(), size)
+                if b is None:
+                    mine = theirs
+                elif similar(mine, theirs, similarity):
+                    found.append((a, b))
+            if found:
+                yield pa.record_batch({"src": pa.array([a for a, _ in found], pa.int64()), "dst": pa.array([b for _, b in found], pa.int64())})
 
     return run
 
 
-def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8, max_bits: int = 12, max_rounds: int = 8) -> DataFrame:
+def similar_pairs(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Those of the distinct ``pairs(a, b)`` whose ``texts(node, text)`` are similar, as ``(src, dst)``. A text that is in
+    many pairs is sent to several tasks."""
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS).cast("int").alias("parts"))
+    dealt = pairs.join(many, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b")
+    heads = dealt.select("a", "part").distinct().join(texts.withColumnRenamed("node", "a"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "text")
+    tails = dealt.join(texts.withColumnRenamed("node", "b"), "b").select("a", "part", "b", "text")
+    rows = heads.union(tails).repartition(n, "a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    return materialize(rows.mapInArrow(releasing(_similar_pairs(size, similarity)), "src long, dst long"), "dedup-similar")
+
+
+def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with one document of each group of near copies, the one of the smallest id.
 
     Near copies have word shingles (size words) of Jaccard similarity ``similarity`` or more; groups are
-    connected by such pairs. Candidates are texts whose SimHash fingerprints (3-word shingles) are
-    within max_bits bits and whose numbers of shingles lie within a quarter's growth or so: 12 bits
-    reach nearly every pair at 0.8. Texts that candidate links connect are compared by their shingles,
-    a block of BLOCK_TEXTS at a time. If a component has more, each block's leaders go on to another
-    round, until they fit a block or none join any more; there, a pair of two followers of different
-    leaders is not compared, which may leave a group in parts but never drops a document without a
-    similar one that stays in reach.
+    connected by such pairs. No such pair is missed but for collisions of 64-bit hashes: with all
+    shingles in one order, rare ones first, two similar sets have the first shingle that they share
+    within the prefixes of both (about a fifth of a set at 0.8). Equal sets are folded first. Where a
+    shingle is in several prefixes, the texts are compared with the first of them; then, of all pairs
+    at a shingle, those that are not in one group yet and that sizes and positions allow.
 
     Texts without words (null, empty) are copies of one another. Of rows equal in id and text one stays.
     Columns and their names stay as they are.
@@ -503,38 +519,36 @@ def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8, max_bit
     text = F.col("row.text").cast("string")
     packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in columns]).alias("row"))
     keyed = packed.select(F.col("row.doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(F.coalesce(text, F.lit("")))).alias("key"), text.alias("text"), "row")
-    rows = materialize(keyed.select("doc_id", "key", "text").mapInArrow(releasing(_text_rows), "doc_id long, key binary, fp long, band int"), "dedup-rows")
+    levels = shingle_levels(keyed, size)
+    made = keyed.select("doc_id", "key", "text").mapInArrow(releasing(_prefixes(size, similarity, levels)), "doc_id long, key binary, node long, size int, prefix array<long>")
+    rows = materialize(made, "dedup-rows")
     # min of a struct: a null id is taken only where there is no other.
-    texts = rows.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id")).alias("least"), F.first("fp").alias("fp"), F.first("band").alias("band"))
-    texts = materialize(texts.select("key", F.col("least.doc_id").alias("doc_id"), "fp", "band"), "dedup-texts")
-    comps = connected_components(near_links(texts.select("fp", "band").distinct(), max_bits, banded=True))
-    near_texts = texts.join(comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    near_texts = materialize(near_texts.select("component", "doc_id", "key", "fp"), "dedup-components")
-    many = near_texts.groupBy("component").count().where("count > 1").select("component", F.col("count").alias("members"))
-    members = near_texts.join(many, "component")
-    members = members.join(keyed.select("key", F.col("doc_id").alias("id"), "text"), "key").where(F.col("id").eqNullSafe(F.col("doc_id"))).drop("id")
-    # Rows of one id and text come once.
-    members = materialize(members.dropDuplicates(["key"]), "dedup-members")
-    n, edges, before = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), None, None
-    for turn in range(max_rounds):
-        # A component of many texts is dealt to several tasks, anew in each round.
-        parts = F.ceil(F.col("members") / BLOCK_TEXTS).cast("int")
-        dealt = members.withColumn("part", F.pmod(F.xxhash64("key", F.lit(turn)), parts)).repartition(n, "component", "part").sortWithinPartitions("component", "part", "doc_id")
-        found = materialize(dealt.select("component", "doc_id", "key", "fp", "text").mapInArrow(releasing(_verify(max_bits, size, similarity)), "component long, key binary, leader binary"), "dedup-sets")
-        joined = found.where("key <> leader").select(F.col("key").alias("src"), F.col("leader").alias("dst"))
-        edges = joined if edges is None else edges.union(joined)
-        leaders = found.where("key = leader").select("component", "key")
-        left = leaders.groupBy("component").agg(F.count(F.lit(1)).alias("left"))
-        large = members.select("component", "members").distinct().where(F.col("members") > BLOCK_TEXTS).join(left, "component").where("left > 1")
-        state = large.agg(F.count(F.lit(1)), F.sum("left")).first()
-        if not state[0] or state == before:
-            break
-        before = state
-        nxt = members.drop("members").join(leaders.select("key"), "key").join(large.select("component", F.col("left").alias("members")), "component")
-        members = materialize(nxt, "dedup-members")
-    leads = connected_components(edges).withColumnRenamed("node", "key")
-    named = texts.select("key", "doc_id").join(leads, "key", "left").withColumn("component", F.coalesce("component", "key"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "key"))
+    sets = rows.groupBy("node").agg(first.alias("least"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
+    sets = materialize(sets.select("node", "least.doc_id", "least.key", "size", "prefix"), "dedup-sets")
+    held = Window.partitionBy("shingle")
+    at = sets.select("node", "size", F.posexplode("prefix").alias("pos", "shingle"))
+    at = at.withColumn("head", F.min("node").over(held)).withColumn("last", F.max("node").over(held)).withColumn("head_size", F.min_by("size", "node").over(held))
+    shared = materialize(at.where("head <> last").drop("last"), "dedup-shared")
+    members = sets.join(shared.select("node").distinct(), "node").select("node", "key", F.col("doc_id").alias("id"))
+    members = members.join(keyed.select("key", "doc_id", "text"), "key").where(F.col("id").eqNullSafe(F.col("doc_id"))).select("node", "text")
+    # Rows of one id and text come once.
+    members = materialize(members.dropDuplicates(["node"]), "dedup-members")
+    fits = F.least("size", "head_size") >= similarity * F.greatest("size", "head_size") - 1e-9
+    heads = materialize(shared.where((F.col("node") != F.col("head")) & fits).select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "dedup-heads")
+    joined = similar_pairs(heads, members, size, similarity)
+    groups = materialize(connected_components(joined), "dedup-groups")
+    grouped = shared.select("shingle", "node", "size", "pos").join(groups, "node", "left").withColumn("group", F.coalesce("component", "node"))
+    apart = grouped.withColumn("low", F.min("group").over(held)).withColumn("high", F.max("group").over(held)).where("low <> high")
+    apart = materialize(apart.select("shingle", "node", "size", "pos", "group"), "dedup-apart")
+    other = apart.select("shingle", *[F.col(c).alias(f"{c}2") for c in ("node", "size", "pos", "group")])
+    # From the first shingle that two sets share on, they have enough left to share.
+    enough = F.least(F.col("size") - F.col("pos"), F.col("size2") - F.col("pos2")) >= similarity / (1 + similarity) * (F.col("size") + F.col("size2")) - 1e-6
+    met = apart.join(other, "shingle").where((F.col("node") < F.col("node2")) & (F.col("group") != F.col("group2")) & enough)
+    pairs = met.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct().join(heads, ["a", "b"], "left_anti")
+    joined = joined.union(similar_pairs(materialize(pairs, "dedup-pairs"), members, size, similarity))
+    leads = connected_components(joined)
+    named = sets.select("node", "key", "doc_id").join(leads, "node", "left").withColumn("component", F.coalesce("component", "node"))
     kept = materialize(named.groupBy("component").agg(first.alias("kept")).select(F.col("kept.key").alias("key"), F.col("kept.doc_id").alias("id")), "dedup-kept")
     out = keyed.select("key", "doc_id", "row").join(kept, "key").where(F.col("doc_id").eqNullSafe(F.col("id")))
     repeated = rows.groupBy("key", "doc_id").count().where("count > 1").select("key", F.col("doc_id").alias("twice"))

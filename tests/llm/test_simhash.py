@@ -128,3 +128,51 @@ def test_one_of_each_against_all_pairs(spark, monkeypatch, block):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     got = {r.doc_id for r in S.one_of_each(docs).collect()}
     assert got == jaccard_groups(texts)
+
+
+def random_words(rng, n):
+    return [f"w{rng.randrange(100_000)}" for _ in range(n)]
+
+
+def near_copy(rng, words, kind):
+    """A copy whose 5-word shingles are about 0.8 to 0.9 similar."""
+    n = len(words)
+    cut = max(1, int(n * rng.uniform(0.1, 0.2)))
+    if kind == "appended":
+        return [*words, *random_words(rng, cut)]
+    if kind == "truncated":
+        return words[: n - cut]
+    if kind == "block":
+        at, cut = rng.randrange(n - cut // 2), max(1, cut // 2 - 4)
+        return [*words[:at], *random_words(rng, cut), *words[at + cut :]]
+    if kind == "scattered":
+        at = set(rng.sample(range(n), max(1, n // 55)))
+        return [random_words(rng, 1)[0] if i in at else w for i, w in enumerate(words)]
+    return [*words, *words[: n // 4] * rng.randrange(2, 9)]  # repeated lines: the same shingles more often
+
+
+def copies(seed):
+    rng = random.Random(seed)
+    texts, pairs = [], 0
+    for kind in ("appended", "truncated", "block", "scattered", "repeated"):
+        for n in (20, 60, 200, 600, 1200):
+            for _ in range(12):
+                words = random_words(rng, n)
+                texts += [" ".join(words), " ".join(near_copy(rng, words, kind))]
+                a, b = (set(S.shingle_hashes(S.tokens_of(t), 5).tolist()) for t in texts[-2:])
+                pairs += len(a & b) >= 0.8 * len(a | b)
+    return texts, pairs
+
+
+def test_every_kind_of_near_copy_is_found(spark):
+    texts, pairs = copies(3)
+    assert pairs > 150
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id for r in S.one_of_each(docs).collect()}
+    want = {i for i in range(len(texts)) if i % 2 == 0 or not alike(texts[i - 1], texts[i])}
+    assert got == want and len(texts) - len(want) == pairs
+
+
+def alike(a, b):
+    a, b = (set(S.shingle_hashes(S.tokens_of(t), 5).tolist()) for t in (a, b))
+    return len(a & b) >= 0.8 * len(a | b)
