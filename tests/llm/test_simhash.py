@@ -176,3 +176,13 @@ def test_every_kind_of_near_copy_is_found(spark):
 def alike(a, b):
     a, b = (set(S.shingle_hashes(S.tokens_of(t), 5).tolist()) for t in (a, b))
     return len(a & b) >= 0.8 * len(a | b)
+
+
+def test_many_long_copies_of_few_texts(spark, monkeypatch):
+    """Copies whose shingles, summed, were once beyond a block's while the texts were not."""
+    monkeypatch.setattr(S, "BLOCK_SHINGLES", 500, raising=False)
+    rng = random.Random(4)
+    base = random_words(rng, 200)
+    texts = [" ".join([*base[:k], "q", *base[k:]]) for k in range(0, 200, 8)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.doc_id for r in S.one_of_each(docs).collect()] == [0]
