@@ -186,3 +186,18 @@ def test_many_long_copies_of_few_texts(spark, monkeypatch):
     texts = [" ".join([*base[:k], "q", *base[k:]]) for k in range(0, 200, 8)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert [r.doc_id for r in S.one_of_each(docs).collect()] == [0]
+
+
+def test_similar_pairs_among_many_less_similar_texts(spark, monkeypatch):
+    """Texts that share most of a template, which only some similar pairs stand out from."""
+    monkeypatch.setattr(S, "BLOCK_TEXTS", 3)
+    rng = random.Random(6)
+    base, texts = random_words(rng, 200), []
+    for _ in range(40):
+        at = rng.randrange(180)
+        texts.append(" ".join([*base[:at], *random_words(rng, 18), *base[at + 18 :]]))
+    texts += [" ".join(near_copy(rng, t.split(), "appended")) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = jaccard_groups(texts)
+    assert 3 < len(want) < 60
+    assert {r.doc_id for r in S.one_of_each(docs).collect()} == want
