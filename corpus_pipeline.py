@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerline.llm import decontam, mixing, quality, simhash, wavelet
-from ledgerline.llm.common import materialize
+from ledgerline.llm.common import drop, materialize, scratch
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token report of the documents that the stages keep. Each stage's documents, and the tables it wrote on the way, go when
+    the next one's are written. A row of documents may hold nulls, and rows may repeat: see the stages. No documents: no rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        with scratch() as made:
+            after = made.keep(materialize(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}"))
+        drop(docs)
+        docs = after
     return STAGES[-1][1](spark, docs, sf_dir)
