@@ -1,59 +1,26 @@
-"""Shared pieces: written intermediate tables, text tokenising rules and connected components."""
+"""Shared pieces: memory of workers and batches, and rules that cut texts into words."""
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
 import gc
-import shutil
-import tempfile
-import uuid
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerline.operators.graph import connected_components
+from ledgerline.written import drop, materialize, new_folder, scratch
+
+__all__ = ["ascii_lower", "connected_components", "drop", "materialize", "mixed", "new_folder", "numbered_words", "release_memory", "releasing", "scratch", "small_batches", "word_count"]
+
 #: A run of anything but ASCII white space, as Java and RE2 both read it.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_own_folder: list[str] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is ``spark.checkpoint.dir`` where the session names one. Where it is unset, a local session gets
-    a temporary folder that is removed at exit, and a cluster one beside its warehouse.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    named = named or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
-    if not _own_folder:
-        _own_folder.append(tempfile.mkdtemp(prefix="ledgerline-"))
-        atexit.register(shutil.rmtree, _own_folder[0], True)
-    return _own_folder[0]
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write a table to the shared folder and return it read back, with its lineage cut."""
-    spark = df.sparkSession
-    folder = new_folder(spark, name)
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(folder)
-    out = spark.read.schema(df.schema).parquet(folder)
-    out._written = folder  # for drop()
-    return out
-
-
 def small_batches(spark: SparkSession, most: int = 16 << 20) -> None:
     """Let Arrow batches of this session hold 16 MB at most: a batch of whole texts is in memory several
     times over, in the JVM and in Python. A smaller setting stays."""
@@ -83,15 +50,6 @@ def releasing(run):
     return wrapped
 
 
-def drop(df: DataFrame) -> None:
-    """Remove the files of a table that materialize() wrote."""
-    folder = getattr(df, "_written", None)
-    if folder:
-        jvm = df.sparkSession._jvm
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-
-
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z alone. Texts of single-byte characters take the quicker built-in, which then does the same."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
@@ -102,37 +60,21 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Components of an undirected graph: ``edges(src, dst)`` of one orderable type -> ``(node, component)``.
-
-    Alternates large-star and small-star steps (each a minimum per node and a join back) until the
-    edges no longer change; every node then points at the smallest node that it can reach. Nodes of
-    no edge to another node are not returned. Nulls are ignored. Each step is written to the shared
-    folder, so a lost executor costs at most one step. A hub's rows are combined before the shuffle
-    that finds its minimum. The minima are read back from files for the join, so that both sides of it
-    are shuffled for it alone, and adaptive execution can deal a hub's rows to several tasks.
-    """
-    pairs = edges.where(F.col("src") != F.col("dst")).select(
-        F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")
-    )
-    state, last = materialize(pairs.distinct(), "cc"), None
-    for _ in range(max_rounds):
-        seen = state.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if seen == last or not seen[0]:
-            break
-        last = seen
-        both = state.union(state.select("v", "u"))
-        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc-minima")
-        large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = materialize(large.where(F.col("u") != F.col("v")).distinct(), "cc-large")
-        small = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "cc-minima")
-        joined = large.join(small, "u")
-        new = joined.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = new.union(small.select("u", F.col("m").alias("v"))).distinct()
-        old, state = state, materialize(new, "cc")
-        for done in (old, least, large, small):
-            drop(done)
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    root = state.groupBy("u").agg(F.min("v").alias("v"))
-    return root.select(F.col("u").alias("node"), F.col("v").alias("component")).union(root.select("v", "v").distinct())
+def numbered_words(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct words (A-Z lower-cased, between ASCII white space) of some texts, each word's number in order, and how many words each text has."""
+    cut = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    flat = cut.flatten()
+    real = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)  # white space at an end leaves an empty word
+    upto = np.concatenate(([0], np.cumsum(real)))
+    places = cut.offsets.to_numpy() - cut.offsets[0].as_py()
+    coded = flat.filter(pa.array(real)).dictionary_encode()
+    words = coded.dictionary.cast(pa.large_binary() if pa.types.is_large_string(coded.dictionary.type) else pa.binary())
+    return words.to_pylist(), coded.indices.to_numpy().astype(np.int64), np.diff(upto[places])
+
+
+def mixed(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """64-bit hashes of runs of words and the words after them."""
+    x = context * np.uint64(0x9E3779B97F4A7C15) + (word ^ (word >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(31)
+    x *= np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(32))

@@ -1,14 +1,16 @@
 """Benchmark decontamination by a broadcast hash set of test n-grams (DataFrame functions only).
 
 Words are runs of a-z, 0-9 and non-ASCII characters after lower-casing A-Z. A window is 13 consecutive
-words of a test item; a shorter item is one window. Two passes over the documents find every occurrence:
+words of a test item; a shorter item is one window. Two passes over the documents find every occurrence,
+whatever lengths windows have:
 
 1. Anchors. A document hashes only every s-th run of L words, with s + L - 1 = the window's length, and
    looks each up in the hash set of all L-word runs of the windows. Any occurrence of a window covers
    one whole aligned run, so no occurrence is missed, at 1/s of the hashes.
 2. Verification. Documents with a hit compare the words of every window with those of the items.
 
-The items' tables are broadcast while they have at most MAX_BROADCAST rows, else joined by shuffle.
+The windows' tables are broadcast while they have at most MAX_BROADCAST rows, else joined by shuffle. Ids of
+items come last, by sets: a passage that many items share costs a hit one row.
 """
 
 from __future__ import annotations
@@ -38,42 +40,53 @@ def _anchor(length: int) -> tuple[int, int]:
     return words, length - words + 1
 
 
-def test_windows(benchmark: DataFrame, n: int) -> DataFrame:
-    """``(length, gram, items)``: the distinct windows as words joined by spaces, with their items' ids as strings."""
+def test_windows(benchmark: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """``(length, gram, items_id)``: the distinct windows as words joined by spaces; and ``(items_id, items)``: the sets of items
+    that windows are in, as sorted ids. Windows of one set share a row there, however many items hold them."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), words_of(F.col("text")).alias("w")).where(F.size("w") > 0)
     length = F.least(F.size("w"), F.lit(n))
     grams = items.select(
         "item", length.alias("length"), F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - length + 1), lambda i: F.array_join(F.slice("w", i, length), " "))).alias("gram")
     )
-    return grams.groupBy("length", "gram").agg(F.collect_set("item").alias("items"))
+    held = grams.groupBy("length", "gram").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    held = materialize(held.withColumn("items_id", F.sha2(F.to_json("items"), 256)), "windows")
+    return held.select("length", "gram", "items_id"), held.select("items_id", "items").dropDuplicates(["items_id"])
+
+
+def _all_lengths(made: list[Column]) -> Column:
+    return F.flatten(F.array(*made)) if len(made) > 1 else made[0]
+
+
+def _runs(w: Column, starts: Column, words: int) -> Column:
+    """Hashes of the runs of so many words at some places."""
+    return F.transform(starts, lambda i: F.xxhash64(F.slice(w, i, words)))
+
+
+def _grams(starts: Column, length: int) -> Column:
+    return F.transform(starts, lambda i: F.struct(i.alias("start"), F.lit(length).alias("length"), F.array_join(F.slice("w", i, length), " ").alias("gram")))
 
 
 def _suspects(docs: DataFrame, windows: DataFrame, lengths: list[int]) -> DataFrame:
-    """Keys of the texts that hold an anchor of some window, for documents of ``(key, w)``."""
-    w, found = F.split("gram", " "), None
+    """Keys of the texts that hold an anchor of some window, for documents of ``(key, w)``. One pass makes the anchors of all lengths."""
+    w, marks, runs = F.split("gram", " "), [], []
     for length in lengths:
         words, stride = _anchor(length)
-        marks = windows.where(F.col("length") == length).select(
-            F.explode(F.transform(F.sequence(F.lit(1), F.lit(stride)), lambda i: F.xxhash64(F.slice(w, i, words)))).alias("mark")
-        )
+        marks.append(F.when(F.col("length") == length, _runs(w, F.sequence(F.lit(1), F.lit(stride)), words)).otherwise(F.array().cast("array<bigint>")))
         starts = F.sequence(F.lit(1), F.size("w") - words + 1, F.lit(stride))
-        # The outer form: for the inner one the optimizer would infer a filter that hashes every run once more.
-        runs = docs.where(F.size("w") >= length).select("key", F.explode_outer(F.transform(starts, lambda i: F.xxhash64(F.slice("w", i, words)))).alias("mark"))
-        hits = runs.join(_small(marks.distinct()), "mark", "left_semi").select("key")
-        found = hits if found is None else found.union(hits)
-    return found.distinct()
+        runs.append(F.when(F.size("w") >= length, _runs(F.col("w"), starts, words)).otherwise(F.array().cast("array<bigint>")))
+    marked = windows.select(F.explode(_all_lengths(marks)).alias("mark")).distinct()
+    # The outer form: for the inner one the optimizer would infer a filter that hashes every run once more.
+    each = docs.select("key", F.explode_outer(_all_lengths(runs)).alias("mark"))
+    return each.join(_small(marked), "mark", "left_semi").select("key").distinct()
 
 
 def _spans(texts: DataFrame, windows: DataFrame, lengths: list[int]) -> DataFrame:
-    """``(key, start, length, items)``: the verified windows, by the words' positions from 1, for ``(key, w)``."""
-    found = None
+    """``(key, start, length, items_id)``: the verified windows, by the words' positions from 1, for ``(key, w)``."""
+    made = []
     for length in lengths:
-        mine = windows.where(F.col("length") == length).select("gram", "items")
-        at = F.transform(F.sequence(F.lit(1), F.size("w") - length + 1), lambda i: F.struct(i.alias("start"), F.array_join(F.slice("w", i, length), " ").alias("gram")))
-        runs = texts.where(F.size("w") >= length).select("key", F.inline_outer(at))
-        hits = runs.join(_small(mine), "gram").select("key", "start", F.lit(length).alias("length"), "items")
-        found = hits if found is None else found.union(hits)
-    return found
+        made.append(F.when(F.size("w") >= length, _grams(F.sequence(F.lit(1), F.size("w") - length + 1), length)).otherwise(F.array().cast("array<struct<start:int,length:int,gram:string>>")))
+    runs = texts.select("key", F.inline_outer(_all_lengths(made)))
+    return runs.join(_small(windows), ["length", "gram"]).select("key", "start", "length", "items_id")
 
 
 def text_key(text: Column) -> Column:
@@ -85,26 +98,24 @@ def _hits(docs: DataFrame, benchmark: DataFrame, n: int) -> DataFrame | None:
 
     spans: sorted, disjoint ``(first, last)`` words.
     """
-    windows = materialize(test_windows(benchmark, n), "windows")
+    windows, sets = test_windows(benchmark, n)
     lengths = [r[0] for r in windows.select("length").distinct().orderBy("length").collect()]  # n at most
     if not lengths:
         return None
     texts = docs.select(text_key(F.col("text")).alias("key"), "text")
     suspects = materialize(_suspects(texts.select("key", words_of(F.col("text")).alias("w")), windows, lengths), "suspects")
     held = texts.join(_small(suspects), "key", "left_semi").select("key", words_of(F.col("text")).alias("w"))
-    spans = _spans(held, windows, lengths)
-    # One row per text and place first: copies of a text fold before the shuffle.
-    spans = spans.groupBy("key", "start").agg(F.max("length").alias("length"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
-    each = spans.groupBy("key").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("start").alias("first"), (F.col("start") + F.col("length") - 1).alias("last")))).alias("runs"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-    )
+    # One row per text, place and set of items first: copies of a text fold before the shuffle.
+    spans = materialize(_spans(held, windows, lengths).groupBy("key", "start", "items_id").agg(F.max("length").alias("length")), "spans")
+    own = spans.select("key", "items_id").distinct().join(_small(sets), "items_id")
+    items = own.groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    each = spans.groupBy("key").agg(F.array_sort(F.collect_set(F.struct(F.col("start").alias("first"), (F.col("start") + F.col("length") - 1).alias("last")))).alias("runs"))
     step = lambda acc, x: F.when(
         (F.size(acc) > 0) & (F.element_at(acc, -1)["last"] >= x["first"] - 1),
         F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["first"].alias("first"), F.greatest(F.element_at(acc, -1)["last"], x["last"]).alias("last")))),
     ).otherwise(F.concat(acc, F.array(x)))
     merged = F.aggregate("runs", F.slice("runs", 1, 0), step)
-    return materialize(each.select("key", merged.alias("spans"), "items"), "hits")
+    return materialize(each.select("key", merged.alias("spans")).join(items, "key"), "hits")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: int = 20) -> DataFrame:

@@ -1,10 +1,11 @@
 """Matroska media columns: write payloads as PCM audio tracks, and parse files into packet tables.
 
 write() stores bytes as one track of 8-bit samples in a Matroska file: EBML header, then a segment of
-unknown or known size with info, tracks, clusters of laced simple blocks, and cues. parse() reads any
-Matroska file's elements: variable-length ids and sizes (unknown sizes too), clusters, simple blocks and
+known size with info, tracks, clusters of laced simple blocks, and cues. read() takes any
+Matroska file's elements apart: variable-length ids and sizes (unknown sizes too), clusters, simple blocks and
 block groups, the three kinds of lacing, and cues. It yields a packet for each frame with timestamp,
-track and byte range, so payloads are read by range, without decoding.
+track and byte range, so payloads are read by range, without decoding. Frames of a lace follow each other
+by the track's default duration, or for PCM by their samples, or else by their share of the block's duration.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966,
 SEEK_HEAD, VOID, CRC32, TAGS, CHAPTERS, ATTACHMENTS = 0x114D9B74, 0xEC, 0xBF, 0x1254C367, 0x1043A770, 0x1941A469
 TIMESTAMP_SCALE, DURATION, TRACK_ENTRY, TRACK_NUMBER, CODEC_ID, AUDIO = 0x2AD7B1, 0x4489, 0xAE, 0xD7, 0x86, 0xE1
 CLUSTER_TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK = 0xE7, 0xA3, 0xA0, 0xA1
+DEFAULT_DURATION, BLOCK_DURATION, REFERENCE_BLOCK = 0x23E383, 0x9B, 0xFB
 CUE_POINT, CUE_TIME, CUE_POSITIONS, CUE_TRACK, CUE_CLUSTER = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 TRACK_UID, TRACK_TYPE, RATE, CHANNELS, DEPTH = 0x73C5, 0x83, 0xB5, 0x9F, 0x6264
 VERSION, READ_VERSION, ID_LENGTH, SIZE_LENGTH, DOC_TYPE, DOC_VERSION, DOC_READ = 0x4286, 0x42F7, 0x42F2, 0x42F3, 0x4282, 0x4287, 0x4285
@@ -38,7 +40,7 @@ SAMPLE_RATE, FRAME, LACED, BLOCKS = 8000, 512, 8, 16  # samples a second; bytes
 
 
 class Packet(NamedTuple):
-    """A frame: its track, timestamp in ticks of the file, cluster, and where its bytes are."""
+    """A frame: its track, timestamp in nanoseconds, cluster, and where its bytes are."""
 
     track: int
     timestamp: int
@@ -50,17 +52,37 @@ class Packet(NamedTuple):
 
 
 class Cue(NamedTuple):
+    """Time in nanoseconds, track, and the cluster's place in the segment's data."""
+
     time: int
     track: int
     cluster: int
 
 
+class Track(NamedTuple):
+    number: int
+    codec: str
+    frame_ns: int  # 0: not declared
+    rate: float
+    channels: int
+    depth: int
+
+    def duration(self, size: int) -> float | None:
+        """Nanoseconds of a frame of some bytes, as far as the track tells."""
+        if self.frame_ns:
+            return self.frame_ns
+        if self.codec.startswith("A_PCM") and self.depth and self.rate:
+            return size * 8 / (self.channels * self.depth) / self.rate * 1e9
+        return None
+
+
 class Media(NamedTuple):
     scale: int
     duration: float
-    tracks: list[tuple[int, str]]
+    tracks: list[Track]
     packets: list[Packet]
     cues: list[Cue]
+    error: str | None = None
 
 
 # --- writing -------------------------------------------------------------------------------------
@@ -148,7 +170,8 @@ def read_size(data: bytes, at: int) -> tuple[int | None, int]:
 
 def elements(data: bytes, at: int, end: int, within: int | None = None) -> Iterator[tuple[int, int, int]]:
     """(id, start, end) of the contents of each element. An element of unknown size ends where one begins
-    that can't be in it: for a cluster any element of the top level, for a segment the end of its data."""
+    that can't be in it: for a cluster any element of the top level, for a segment the end of its data.
+    A segment or cluster that is cut off is given up to the end, and then a ValueError follows, as for any other damage."""
     while at < end:
         kind, at = read_id(data, at)
         if within == CLUSTER and kind in TOP:
@@ -160,6 +183,8 @@ def elements(data: bytes, at: int, end: int, within: int | None = None) -> Itera
             stop = end if kind == SEGMENT else _cluster_end(data, at, end)
         else:
             stop = at + size
+        if stop > end and kind in (SEGMENT, CLUSTER):
+            yield kind, at, end
         if stop > end:
             raise ValueError(f"element {kind:x} goes beyond byte {end}")
         yield kind, at, stop
@@ -186,11 +211,14 @@ def _float(data: bytes, at: int, end: int) -> float:
     return struct.unpack({4: ">f", 8: ">d"}[end - at], data[at:end])[0] if end > at else 0.0
 
 
-def _block(data: bytes, at: int, end: int, cluster: int, base: int, simple: bool, ticks: int) -> Iterator[Packet]:
-    track, at = read_size(data, at)
+def _block(data: bytes, at: int, end: int, cluster: int, base: int, scale: int, tracks: dict[int, Track], keyframe: bool | None, lasts: int | None = None) -> Iterator[Packet]:
+    """A block's frames. keyframe None: as the block's own flag says; lasts: the block's duration in ticks, if known."""
+    number, at = read_size(data, at)
+    if number is None:
+        raise ValueError("a block of no track")
     step, flags = struct.unpack(">hB", data[at : at + 3])
     at += 3
-    lacing, key = flags >> 1 & 3, bool(flags & 0x80) if simple else True
+    lacing, key = flags >> 1 & 3, bool(flags & 0x80) if keyframe is None else keyframe
     if lacing == NONE:
         sizes = [end - at]
     else:
@@ -214,56 +242,101 @@ def _block(data: bytes, at: int, end: int, cluster: int, base: int, simple: bool
                     size, at = (x if not i else sizes[-1] + x - ((1 << 7 * width - 1) - 1)), after
                 sizes.append(size)
             sizes.append(end - at - sum(sizes))
-            if min(sizes) < 0:
-                raise ValueError("a lace is longer than its block")
-    when = base + step
+    if min(sizes) < 0:
+        raise ValueError("a lace is longer than its block")
+    track, when = tracks.get(number), float((base + step) * scale)
     for size in sizes:
-        yield Packet(track, when, cluster, lacing, key, at, size)
+        yield Packet(number, round(when), cluster, lacing, key, at, size)
         at += size
-        when += size * ticks  # 8-bit PCM: a byte is a sample, a sample a tick
+        known = track.duration(size) if track else None
+        when += known if known is not None else (lasts or 0) * scale / len(sizes)
+
+
+def _group(data: bytes, at: int, end: int, *place) -> Iterator[Packet]:
+    """A block group's frames: key frames unless they refer to another block."""
+    inside = {kind: (a, b) for kind, a, b in elements(data, at, end)}
+    if BLOCK in inside:
+        lasts = _number(data, *inside[BLOCK_DURATION]) if BLOCK_DURATION in inside else None
+        yield from _block(data, *inside[BLOCK], *place, REFERENCE_BLOCK not in inside, lasts)
+
+
+def _track(data: bytes, at: int, end: int) -> Track:
+    inside = {kind: (a, b) for kind, a, b in elements(data, at, end)}
+    audio = {kind: (a, b) for kind, a, b in elements(data, *inside[AUDIO])} if AUDIO in inside else {}
+    number = lambda of, kind, default: _number(data, *of[kind]) if kind in of else default
+    codec = data[slice(*inside[CODEC_ID])].decode("utf-8", "replace") if CODEC_ID in inside else ""
+    rate = _float(data, *audio[RATE]) if RATE in audio else 8000.0
+    return Track(number(inside, TRACK_NUMBER, 0), codec, number(inside, DEFAULT_DURATION, 0), rate, max(1, number(audio, CHANNELS, 1)), number(audio, DEPTH, 0))
+
+
+def _cues(data: bytes, at: int, end: int, scale: int) -> Iterator[Cue]:
+    for kind, a, b in elements(data, at, end):
+        if kind == CUE_POINT:
+            inside = list(elements(data, a, b))
+            time = next((_number(data, c, d) for k, c, d in inside if k == CUE_TIME), 0)
+            for k, c, d in inside:
+                if k == CUE_POSITIONS:
+                    at_ = {x: _number(data, e, f) for x, e, f in elements(data, c, d)}
+                    yield Cue(time * scale, at_.get(CUE_TRACK, 0), at_.get(CUE_CLUSTER, 0))
+
+
+def read(data: bytes, since: int | None = None) -> Media:
+    """A file's tracks, packets in file order, and cues, up to the first damage, which ``error`` then tells.
+
+    Cluster places count from the segment's data. since: nanoseconds; clusters before the last one that
+    the cues name for that time are passed over by their sizes, without being read.
+    """
+    scale, duration, tracks, packets, cues, error = 1_000_000, 0.0, {}, [], [], None
+    try:
+        if read_id(data, 0)[0] != EBML:
+            raise ValueError("not an EBML file")
+        for kind, a, b in elements(data, 0, len(data)):
+            if kind != SEGMENT:
+                continue
+            start, n = 0, 0
+            if since is not None:
+                named = [c for part, c, d in elements(data, a, b) if part == CUES for c in _cues(data, c, d, _scale_of(data, a, b))]
+                start = max((c.cluster for c in named if c.time <= since), default=0)
+            at = a
+            for part, c, d in elements(data, a, b):
+                if part == INFO:
+                    for x, e, f in elements(data, c, d):
+                        scale = _number(data, e, f) if x == TIMESTAMP_SCALE else scale
+                        duration = _float(data, e, f) if x == DURATION else duration
+                elif part == TRACKS:
+                    found = [_track(data, e, f) for x, e, f in elements(data, c, d) if x == TRACK_ENTRY]
+                    tracks |= {t.number: t for t in found}
+                elif part == CLUSTER:
+                    base, n = 0, n + 1
+                    if at - a >= start:
+                        for x, e, f in elements(data, c, d, CLUSTER):
+                            if x == CLUSTER_TIMESTAMP:
+                                base = _number(data, e, f)
+                            elif x == SIMPLE_BLOCK:
+                                packets.extend(_block(data, e, f, n - 1, base, scale, tracks, None))
+                            elif x == BLOCK_GROUP:
+                                packets.extend(_group(data, e, f, n - 1, base, scale, tracks))
+                elif part == CUES:
+                    cues.extend(_cues(data, c, d, scale))
+                at = d
+    except (ValueError, IndexError, KeyError, struct.error) as damage:
+        error = str(damage) or type(damage).__name__
+    return Media(scale, duration, list(tracks.values()), packets, cues, error)
+
+
+def _scale_of(data: bytes, at: int, end: int) -> int:
+    for part, a, b in elements(data, at, end):
+        if part == INFO:
+            return next((_number(data, e, f) for x, e, f in elements(data, a, b) if x == TIMESTAMP_SCALE), 1_000_000)
+    return 1_000_000
 
 
 def parse(data: bytes) -> Media:
-    """A file's track list, packets in file order, and cues. Cluster places count from the segment's data."""
-    scale, duration, tracks, packets, cues = 1_000_000, 0.0, [], [], []
-    top = list(elements(data, 0, len(data)))
-    if not top or top[0][0] != EBML:
-        raise ValueError("not an EBML file")
-    for kind, a, b in top:
-        if kind != SEGMENT:
-            continue
-        for part, c, d in elements(data, a, b):
-            if part == INFO:
-                for x, e, f in elements(data, c, d):
-                    scale = _number(data, e, f) if x == TIMESTAMP_SCALE else scale
-                    duration = _float(data, e, f) if x == DURATION else duration
-            elif part == TRACKS:
-                for x, e, f in elements(data, c, d):
-                    if x == TRACK_ENTRY:
-                        inside = {y: (g, h) for y, g, h in elements(data, e, f)}
-                        tracks.append((_number(data, *inside[TRACK_NUMBER]), data[slice(*inside[CODEC_ID])].decode() if CODEC_ID in inside else ""))
-            elif part == CLUSTER:
-                pcm, base, n = {t for t, codec in tracks if codec.startswith("A_PCM")}, 0, len({p.cluster for p in packets[-1:]}) and packets[-1].cluster + 1
-                for x, e, f in elements(data, c, d, CLUSTER):
-                    if x == CLUSTER_TIMESTAMP:
-                        base = _number(data, e, f)
-                    elif x == SIMPLE_BLOCK:
-                        packets.extend(_block(data, e, f, n, base, True, int(data[e] & 0x7F in pcm)))
-                    elif x == BLOCK_GROUP:
-                        for y, g, h in elements(data, e, f):
-                            if y == BLOCK:
-                                packets.extend(_block(data, g, h, n, base, False, int(data[g] & 0x7F in pcm)))
-            elif part == CUES:
-                for x, e, f in elements(data, c, d):
-                    if x == CUE_POINT:
-                        time = 0
-                        for y, g, h in elements(data, e, f):
-                            if y == CUE_TIME:
-                                time = _number(data, g, h)
-                            elif y == CUE_POSITIONS:
-                                inside = {z: _number(data, i, j) for z, i, j in elements(data, g, h)}
-                                cues.append(Cue(time, inside.get(CUE_TRACK, 0), inside.get(CUE_CLUSTER, 0)))
-    return Media(scale, duration, tracks, packets, cues)
+    """read() of a whole file; a ValueError tells of damage."""
+    media = read(data)
+    if media.error:
+        raise ValueError(media.error)
+    return media
 
 
 def payload_of(data: bytes, media: Media, track: int = 1) -> bytes:
@@ -294,30 +367,36 @@ def encode_texts(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(releasing(run), "doc_id long, n_bytes long, media binary")
 
 
-PACKETS = "id long, track int, packet long, timestamp_ns long, cluster int, lacing int, keyframe boolean, offset long, size long, cued boolean"
+PACKETS = "id long, track int, packet long, timestamp_ns long, cluster int, lacing int, keyframe boolean, offset long, size long, cued boolean, error string"
+PACKET_TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.bool_(), pa.string()]
 
 
-def packet_table(media: DataFrame, key: str = "doc_id", column: str = "media") -> DataFrame:
-    """A row for each frame of each file. A null file gives no rows; bytes that aren't Matroska raise.
+def packet_table(media: DataFrame, key: str = "doc_id", column: str = "media", since: int | None = None) -> DataFrame:
+    """A row for each frame of each file. A null file gives no rows.
 
-    cued: the first frame of a cluster that the cues name.
+    cued: the first frame of a cluster that the cues name. Damaged files, and bytes that are no Matroska, give the frames
+    before the damage and then a row of nulls but for the id and ``error``. since: nanoseconds from which on
+    frames are wanted; whole clusters before are passed over where the cues allow it, and frames before are left out.
+    Repeated rows give their frames again. Other columns are not looked at.
     """
+    names = [c.split()[0] for c in PACKETS.split(", ")]
 
     def run(batches):
         for batch in batches:
             for k, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if not data.is_valid:
                     continue
-                raw = data.as_py()
-                found, times, rows, last = parse(raw), {}, [], -1
+                found, rows, last = read(data.as_py(), since), [], -1
                 times = {c.time for c in found.cues}
                 for i, p in enumerate(found.packets):
-                    rows.append((k, p.track, i, p.timestamp * found.scale, p.cluster, p.lacing, p.keyframe, p.offset, p.size, p.cluster != last and p.timestamp in times))
+                    if since is None or p.timestamp >= since:
+                        rows.append((k, p.track, i, p.timestamp, p.cluster, p.lacing, p.keyframe, p.offset, p.size, p.cluster != last and p.timestamp in times, None))
                     last = p.cluster
-                types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.bool_()]
-                names = [c.split()[0] for c in PACKETS.split(", ")]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+                if found.error:
+                    rows.append((k, *[None] * 9, found.error))
+                for at in range(0, len(rows), 100_000):
+                    columns = zip(*rows[at : at + 100_000], strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, PACKET_TYPES, strict=True)], names=names)
 
     return media.select(F.col(key).cast("long").alias("id"), F.col(column).alias("media")).mapInArrow(releasing(run), PACKETS)
 

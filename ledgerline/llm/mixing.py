@@ -12,12 +12,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import materialize, word_count
+from ledgerline.llm.common import drop, materialize, word_count
+from ledgerline.operators.ordering import running
 
 #: Levels of 12 bits that make up the 60-bit hash.
 LEVELS, BITS = 5, 12
 #: A table of sources up to this many rows is broadcast; a larger one is joined by shuffle.
 BROADCAST_SOURCES = 10_000
+#: Tasks that the rows of a source are dealt to where sources are not broadcast.
+SALTS = 64
 
 
 def document_hash(doc_id: Column, text: Column) -> Column:
@@ -27,25 +30,29 @@ def document_hash(doc_id: Column, text: Column) -> Column:
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...], budget: float, cap: float) -> DataFrame:
-    """``(source, source_size)`` -> the same with ``target``.
+    """``(source, source_size)`` -> the same with ``target``. Sources are ordered by a window while they are few, else by ranges.
 
     Sources in code-point order, null last, take the weights in turn. Together they get ``budget`` times
     all sizes; no target is over ``cap`` times its source's size, and what that cuts off is shared among
     the others by weight. With sources in order of cap per weight, the level at which all others are
     filled follows from running sums of the caps and weights before each source.
     """
-    by_code = Window.orderBy(F.col("source").asc_nulls_last())
-    w = F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(by_code) - 1) % len(weights) + 1).cast("int"))
-    w = sizes.withColumn("weight", w).withColumn("room", cap * F.col("source_size"))
-    everything = Window.partitionBy()
-    before = Window.orderBy(F.col("room") / F.col("weight"), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    w = w.withColumn(
-        "level",
-        (budget * F.sum("source_size").over(everything) - F.coalesce(F.sum("room").over(before), F.lit(0.0)))
-        / (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0))),
-    )
-    fits = F.when(F.col("level") * F.col("weight") <= F.col("room"), F.struct(F.col("room") / F.col("weight"), F.col("level").alias("level")))
-    w = w.withColumn("filled", F.min(fits).over(everything)["level"])
+    few = sizes.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    # Null last: an order that both ways share.
+    named = sizes.select(F.struct(F.col("source").isNull().alias("no"), "source").alias("by"), "source", "source_size")
+    ranked = named.withColumn("position", F.row_number().over(Window.orderBy("by"))) if few else running(named, ["by"])
+    w = F.element_at(F.array(*map(F.lit, weights)), ((F.col("position") - 1) % len(weights) + 1).cast("int"))
+    w = ranked.withColumn("weight", w).withColumn("room", cap * F.col("source_size")).withColumn("per", F.col("room") / F.col("weight"))
+    if few:
+        before = Window.orderBy("per", "by").rowsBetween(Window.unboundedPreceding, -1)
+        w = w.withColumns({f"{c}_before": F.coalesce(F.sum(c).over(before), F.lit(0)) for c in ("room", "weight")})
+    else:
+        w = running(w, ["per", "by"], ["room", "weight"], position="place")
+    whole = w.agg(F.sum("source_size").alias("sizes"), F.sum("weight").alias("weights"))  # one row
+    w = w.crossJoin(F.broadcast(whole))
+    w = w.withColumn("level", (budget * F.col("sizes") - F.col("room_before")) / (F.col("weights") - F.col("weight_before")))
+    fits = F.when(F.col("level") * F.col("weight") <= F.col("room"), F.struct("per", "level"))
+    w = w.crossJoin(F.broadcast(w.agg(F.min(fits)["level"].alias("filled"))))
     return w.select("source", "source_size", F.least("room", F.coalesce(F.col("filled") * F.col("weight"), F.col("room"))).alias("target"))
 
 
@@ -60,10 +67,14 @@ def thresholds(rows: DataFrame, targets: DataFrame) -> DataFrame:
         "source", "source_size", "target", "copies",
         (F.col("target") - F.col("copies") * F.col("source_size")).alias("rest"), F.lit(0).cast("long").alias("prefix"),
     )
+    few = targets.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     for level in range(LEVELS):
         shift = BITS * (LEVELS - 1 - level)
         at = found.select(F.col("source").alias("s"), "rest", "prefix")
-        inside = rows.join(at, rows["source"].eqNullSafe(at["s"]) & (F.shiftright(rows["hash"], shift + BITS) == at["prefix"]))
+        # Sums by bucket first: a source joins with 4,096 rows at level 0. Below, rows join by source and bucket, so that a
+        # source's rows are spread over its buckets.
+        per = rows if level else rows.groupBy("source", F.shiftleft(F.shiftright("hash", shift), shift).alias("hash")).agg(F.sum("size").alias("size"))
+        inside = per.join(F.broadcast(at) if few else at, per["source"].eqNullSafe(at["s"]) & (F.shiftright(per["hash"], shift + BITS) == at["prefix"]))
         sums = inside.groupBy("s", "rest", F.shiftright("hash", shift).alias("bucket")).agg(F.sum("size").alias("sum"))
         upto = F.sum("sum").over(Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
         edge = sums.withColumn("upto", upto).where((F.col("upto") - F.col("sum") <= F.col("rest")) & (F.col("rest") < F.col("upto")))
@@ -84,7 +95,9 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), budget: float =
     """The documents' narrow rows ``(doc_id, source, size, hash)`` and their sources' thresholds, both written."""
     rows = materialize(measured(docs), "mix-rows")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    found = materialize(thresholds(rows, materialize(source_targets(sizes, weights, budget, cap), "mix-targets")), "mix-cuts")
+    targets = materialize(source_targets(sizes, weights, budget, cap), "mix-targets")
+    found = thresholds(rows, targets)
+    drop(targets)
     return rows, found
 
 
@@ -92,8 +105,12 @@ def _taken(rows: DataFrame, found: DataFrame) -> DataFrame:
     """rows with their source's columns and ``n_copies``."""
     found = found.withColumnRenamed("source", "s")
     if found.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
-        found = F.broadcast(found)
-    joined = rows.join(found, rows["source"].eqNullSafe(F.col("s"))).drop("s")
+        joined = rows.join(F.broadcast(found), rows["source"].eqNullSafe(F.col("s"))).drop("s")
+    else:
+        # A source's rows go to SALTS tasks, and its thresholds to each of them.
+        salted = rows.withColumn("salt", F.pmod(F.col("hash"), F.lit(SALTS)))
+        each = found.withColumn("of", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        joined = salted.join(each, salted["source"].eqNullSafe(each["s"]) & (salted["salt"] == each["of"])).drop("s", "of", "salt")
     more = F.coalesce((F.col("hash") < F.col("cut")) | ((F.col("hash") == F.col("cut")) & F.col("at_cut")), F.lit(False))
     return joined.withColumn("n_copies", F.col("copies") + more.cast("long"))
 

@@ -1,40 +1,48 @@
 """Quality classifier by co-training on two views of a document.
 
-The text view has words, their first letters and their last characters: which of them are present, and
-which make up a noticeable share of the text. The metadata
-view has source, language, declared length and layout figures. Each view gets a logistic classifier.
-In rounds, each labels pool documents that it is sure of (by its probability, calibrated on labelled
-documents kept aside) for the other one's training. At the end both calibrated views are combined by a
-logistic fit on the documents kept aside, and every document is scored by the executors.
-
-The fit is made on bounded, documented samples: ``labelled`` labelled documents and ``pool`` unlabelled
-ones, those with the least hash of their id. Scoring covers every document, whole. A document is good if
-it is labelled quality 1 and toxic 0.
+The text view reads the text alone: its words, their first letters and their last characters (which of
+them are present, and which make up a noticeable share of the text), and figures of its layout. The
+metadata view reads source, language and declared length alone. Each view gets a logistic classifier.
+In rounds, each picks the unlabelled documents that it is surest of (by its probability, calibrated on
+labelled documents kept aside) and labels them for the other one's training. At the end both calibrated
+views are combined by a logistic fit on the documents kept aside, and every document is scored.
+
+The labelled documents that the fit sees are a bounded sample (``labelled``, those with the least hash of
+their id). Pseudo-labels are chosen among all unlabelled documents: executors turn these once into the few
+features that can matter, fold equal ones, and each round looks through all of them for its
+``per_round`` surest of a class. A document is good if it is labelled quality 1 and toxic 0.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import release_memory, releasing, small_batches
+from ledgerline.llm.common import drop, materialize, release_memory, releasing, small_batches
 
 PUNCTUATION = ".,;:!?()[]\"'"
 #: Features of the text view that are kept, and the least chi-square by which they tell the classes apart.
 FEATURES, LEAST_CHI = 2048, 15.0
-#: Bins of each figure of the metadata view.
+#: Features that pseudo-labelled documents may bring forward: as many, with as much evidence in the labelled ones.
+CANDIDATES, CANDIDATE_CHI = 8192, 4.0
+#: Bins of a figure.
 BINS = 16
-#: Figures that layout() gives.
-FIGURES = 10
 #: Words whose features a worker remembers.
 MEMORY = 200_000
+#: Bytes of text taken apart at once, about.
+TEXT_BYTES = 2_000_000
+#: Times, and share of the words, from which a feature counts as frequent; its id is then the feature's with these bits flipped.
+OFTEN, SHARE, FREQUENT = 2, 0.006, 0x5BD1E995
+
+
+# --- features ------------------------------------------------------------------------------------------
 
 
 def word_features(word: str) -> tuple[int, ...]:
@@ -43,33 +51,81 @@ def word_features(word: str) -> tuple[int, ...]:
     return tuple(zlib.crc32(n.encode("utf-8", "surrogatepass")) for n in sorted(names))
 
 
-def layout(text: str | None, n_chars: int | None, words: list[str]) -> list[float]:
-    """Declared length, and shares that tell how a page is laid out."""
-    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
-    count = np.bincount(raw, minlength=256)
-    size, n = max(1, len(raw)), max(1, len(words))
-    digits, upper, lower = count[48:58].sum(), count[65:91].sum(), count[97:123].sum()
-    space, high = count[32] + count[9:14].sum(), count[128:].sum()
-    symbols = len(raw) - digits - upper - lower - space - high
-    return [
-        float(np.log1p(max(0, n_chars or 0))), float(np.log1p(len(words))), len(set(words)) / n, symbols / size, upper / size, digits / size, count[10] / n,
-        count[124] / n, size / n, sum(a == b for a, b in zip(words, words[1:], strict=False)) / n,
-    ]
+def figure_id(figure: int, bin_: int) -> int:
+    return zlib.crc32(f"{figure} {bin_}".encode())
 
 
-def _words(text: str | None) -> list[str]:
-    return (text or "").lower().split()
+class Words:
+    """Some texts' words: the distinct ones, and each place's document and word number."""
 
+    def __init__(self, texts: pa.Array):
+        cut = pc.utf8_split_whitespace(pc.utf8_lower(pc.fill_null(texts, "")))
+        flat = cut.flatten()
+        real = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)  # an empty text has one empty word
+        upto = np.concatenate(([0], np.cumsum(real)))
+        self.sizes = np.diff(upto[cut.offsets.to_numpy() - cut.offsets[0].as_py()])
+        coded = flat.filter(pa.array(real)).dictionary_encode()
+        self.words = coded.dictionary.to_pylist()
+        self.code = coded.indices.to_numpy().astype(np.int64)
+        self.doc = np.repeat(np.arange(len(texts)), self.sizes)
+
+
+def layout(texts: pa.Array, words: Words) -> np.ndarray:
+    """A row of figures for each text that tell how it is laid out."""
+    n_docs, n = len(texts), np.maximum(1, words.sizes)
+    count = np.stack([np.bincount(np.frombuffer(t.as_buffer(), np.uint8), minlength=256) if t.is_valid and len(t.as_buffer()) else np.zeros(256, np.int64) for t in texts]) if n_docs else np.zeros((0, 256), np.int64)
+    size = np.maximum(1, count.sum(axis=1))
+    digits, upper, lower = count[:, 48:58].sum(axis=1), count[:, 65:91].sum(axis=1), count[:, 97:123].sum(axis=1)
+    space, high = count[:, 32] + count[:, 9:14].sum(axis=1), count[:, 128:].sum(axis=1)
+    symbols = count.sum(axis=1) - digits - upper - lower - space - high
+    distinct = np.bincount(np.unique(words.doc * max(1, len(words.words)) + words.code) // max(1, len(words.words)), minlength=n_docs)
+    again = (words.code[1:] == words.code[:-1]) & (words.doc[1:] == words.doc[:-1])
+    repeats = np.bincount(words.doc[1:][again], minlength=n_docs)
+    return np.stack((np.log1p(words.sizes), distinct / n, symbols / size, upper / size, digits / size, count[:, 10] / n, count[:, 124] / n, size / n, repeats / n), axis=1)
+
+
+def text_features(words: Words, of: list[tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray]:
+    """(document, feature id), sorted: present and frequent features, from the features ``of`` each distinct word."""
+    size = np.fromiter(map(len, of), np.int64, len(of))
+    flat = np.fromiter((f for x in of for f in x), np.int64, int(size.sum()))
+    held = size[words.code] > 0
+    code, doc = words.code[held], words.doc[held]
+    n = size[code]
+    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat((np.cumsum(size) - size)[code], n)
+    pairs, times = np.unique(np.repeat(doc, n) << 32 | flat[place], return_counts=True)
+    doc, feature = pairs >> 32, pairs & 0xFFFFFFFF
+    often = (times >= OFTEN) & (times >= SHARE * words.sizes[doc])
+    return np.concatenate((doc, doc[often])), np.concatenate((feature, feature[often] ^ FREQUENT))
+
+
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    step = max(1, int(batch.num_rows * TEXT_BYTES / max(1, batch.nbytes)))
+    for at in range(0, batch.num_rows, step):
+        yield batch.slice(at, step)
+
+
+def binned(edges: list[np.ndarray], figures: np.ndarray) -> np.ndarray:
+    """Feature ids of figures: the bin that each lies in."""
+    out = np.empty(figures.shape, np.int64)
+    for k, e in enumerate(edges):
+        ids = np.array([figure_id(k, b) for b in range(len(e) + 1)], np.int64)
+        out[:, k] = ids[np.searchsorted(e, figures[:, k])]
+    return out
 
-#: Times, and share of the words, from which a feature counts as frequent; its id is then the feature's with these bits flipped.
-OFTEN, SHARE, FREQUENT = 2, 0.006, 0x5BD1E995
 
+def metadata_features(edges: np.ndarray, sources: list, langs: list, lengths: list) -> list[np.ndarray]:
+    """Source, language, declared length, and the language in its source."""
+    bins = np.searchsorted(edges, [0 if n is None else n for n in lengths])
+    names = ((f"source {s}", f"lang {g}", f"length {b}", f"both {s} {g}") for s, g, b in zip(sources, langs, bins.tolist(), strict=True))
+    return [np.fromiter((zlib.crc32(n.encode("utf-8", "surrogatepass")) for n in x), np.int64, 4) for x in names]
 
-def text_features(features: np.ndarray, times: np.ndarray, n_words: int) -> np.ndarray:
-    """Present and frequent features, from words' features and how often their words occur."""
-    ids, index = np.unique(features, return_inverse=True)
-    count = np.bincount(index, weights=times, minlength=len(ids))
-    return np.concatenate((ids, ids[(count >= OFTEN) & (count >= SHARE * n_words)] ^ FREQUENT))
+
+def split_rows(owner: np.ndarray, values: np.ndarray, n: int) -> list[np.ndarray]:
+    by = np.argsort(owner, kind="stable")
+    return np.split(values[by], np.cumsum(np.bincount(owner, minlength=n))[:-1]) if n else []
+
+
+# --- classifiers ---------------------------------------------------------------------------------------
 
 
 class Linear:
@@ -89,6 +145,9 @@ class Linear:
     def log_odds(self, raw):
         return self.slope * raw + self.offset
 
+    def odds_of(self, rows: list[np.ndarray]) -> np.ndarray:
+        return self.log_odds(np.array([self.raw(r.tolist()) for r in rows], float))
+
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float, rounds: int = 50) -> np.ndarray:
     """Newton's method; x dense and narrow, its last column all ones."""
@@ -104,19 +163,29 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float, rounds: int = 50) -> n
     return w
 
 
-def _fit(rows: list, y: np.ndarray, screen: bool, l2: float = 1e-3) -> Linear:
-    """A logistic fit on presence features (accelerated gradient steps), after dropping those of no evidence."""
-    owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
-    index = np.concatenate(rows) if rows else np.zeros(0, np.int32)
-    ids = np.arange(index.max(initial=-1) + 1)
+def _evidence(index: np.ndarray, owner: np.ndarray, y: np.ndarray, n_ids: int) -> np.ndarray:
+    """Chi-square of each feature, 0 unless it speaks against a document."""
     n, n1 = max(1, len(y)), max(1.0, float(y.sum()))
     n0 = max(1.0, n - n1)
-    good, held = np.bincount(index, weights=y[owner], minlength=len(ids)), np.bincount(index, minlength=len(ids)).astype(float)
+    good, held = np.bincount(index, weights=y[owner], minlength=n_ids), np.bincount(index, minlength=n_ids).astype(float)
     bad = held - good
     chi = n * (good * (n0 - bad) - bad * (n1 - good)) ** 2 / np.maximum(n1 * n0 * held * (n - held), 1.0)
-    chi = np.where(good * n0 < bad * n1, chi, 0)  # the text view has signs of faults alone: harmless words can't make up for them
-    keep = np.argsort(-chi, kind="stable")[:FEATURES] if screen else np.arange(len(ids))
-    keep = keep[chi[keep] >= LEAST_CHI] if screen else keep
+    return np.where(good * n0 < bad * n1, chi, 0)
+
+
+def _fit(rows: list, y: np.ndarray, faults: bool, l2: float = 1e-3) -> Linear:
+    """A logistic fit on presence features (accelerated gradient steps). faults: only of features that speak against a
+    document, with enough evidence: harmless words can't make up for them."""
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
+    index = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+    ids, index = np.unique(index, return_inverse=True)
+    n, n1 = max(1, len(y)), max(1.0, float(y.sum()))
+    n0 = max(1.0, n - n1)
+    keep = np.arange(len(ids))
+    if faults:
+        chi = _evidence(index, owner, y, len(ids))
+        keep = np.argsort(-chi, kind="stable")[:FEATURES]
+        keep = keep[chi[keep] >= LEAST_CHI]
     column = np.full(len(ids), -1)
     column[keep] = np.arange(len(keep))
     used = column[index] >= 0
@@ -132,29 +201,14 @@ def _fit(rows: list, y: np.ndarray, screen: bool, l2: float = 1e-3) -> Linear:
         s = np.bincount(r, weights=vw[c], minlength=len(rows)) + vb
         g = (1 / (1 + np.exp(-np.clip(s, -30, 30))) - y) / max(1, len(y))
         nw = vw - step * (np.bincount(c, weights=g[r], minlength=len(keep)) + l2 * vw)
-        nw = np.minimum(nw, 0) if screen else nw
+        nw = np.minimum(nw, 0) if faults else nw
         nb = vb - bias_step * g.sum()
         nt = (1 + np.sqrt(1 + 4 * t * t)) / 2
         if (nw - w) @ (vw - nw) + (nb - bias) * (vb - nb) > 0:  # the momentum points uphill: start it anew
             nt = 1.0
         vw, vb = nw + (t - 1) / nt * (nw - w), nb + (t - 1) / nt * (nb - bias)
         w, bias, t = nw, nb, nt
-    return Linear({int(i): float(x) for i, x in zip(ids[keep], w, strict=True)}, float(bias))
-
-
-#: A feature of fewer documents of the sample can't reach LEAST_CHI.
-LEAST_DOCUMENTS = 4
-
-
-def _dense(rows: list[np.ndarray], least: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Feature ids that at least so many rows have, and each row's as indices of these."""
-    ids, count = np.unique(np.concatenate(rows) if rows else np.zeros(0, np.uint32), return_counts=True)
-    ids, out = ids[count >= least], []
-    for r in rows:
-        at = np.searchsorted(ids, r)
-        at[at == len(ids)] = 0
-        out.append(at[ids[at] == r].astype(np.int32) if len(ids) else np.zeros(0, np.int32))
-    return ids, out
+    return Linear({int(i): float(x) for i, x in zip(ids[keep], w, strict=True) if abs(x) > 1e-3}, float(bias))
 
 
 def _proven(odds: np.ndarray, right: np.ndarray, sure: float) -> float:
@@ -175,146 +229,200 @@ def _both(text_odds, meta_odds) -> list:
 
 
 class Model:
-    """Both views with their calibration, the bins of the metadata view, and the combination."""
+    """Both views with their calibration, the bins of figures and lengths, and the combination.
 
-    def __init__(self, edges, text: Linear, meta: Linear, mix: np.ndarray):
-        self.edges, self.text, self.meta, self.mix = edges, text, meta, mix
+    ``taught``: how many pseudo-labels each view (text, metadata) gave to the other one.
+    """
 
-    def meta_features(self, source, lang, figures) -> list[int]:
-        return _meta_features(self.edges, source, lang, figures)
+    def __init__(self, edges: list[np.ndarray], lengths: np.ndarray, text: Linear, meta: Linear, mix: np.ndarray, taught: tuple[int, int] = (0, 0)):
+        self.edges, self.lengths, self.text, self.meta, self.mix, self.taught = edges, lengths, text, meta, mix, taught
 
     def combined(self, text_odds, meta_odds):
         return sum(w * x for w, x in zip(self.mix, [*_both(text_odds, meta_odds), 1.0], strict=True))
 
 
-def _meta_features(edges, source, lang, figures) -> list[int]:
-    names = [f"source {source}", f"lang {lang}", *(f"{k} {int(np.searchsorted(e, x))}" for k, (e, x) in enumerate(zip(edges, figures, strict=True)))]
-    return [zlib.crc32(n.encode("utf-8", "surrogatepass")) for n in names]
+# --- fitting -------------------------------------------------------------------------------------------
+
+INPUTS = (("doc_id", "long"), ("text", "string"), ("lang", "string"), ("source", "string"), ("n_chars", "long"))
 
 
-def features_of(words: list[str]) -> np.ndarray:
-    count = Counter(words)
-    each = [word_features(w) for w in count]
-    times = np.repeat(np.fromiter(count.values(), np.int64, len(count)), [len(x) for x in each])
-    return text_features(np.fromiter(chain.from_iterable(each), np.int64), times, len(words))
+def _inputs(docs: DataFrame) -> DataFrame:
+    small_batches(docs.sparkSession)
+    return docs.select(*(F.col(c).cast(t).alias(c) for c, t in INPUTS))
 
 
-def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for at in range(0, whole.num_rows, 100):
-            batch = whole.slice(at, 100)
-            ids, texts, langs, sources, sizes, labels = (batch.column(c).to_pylist() for c in ("doc_id", "text", "lang", "source", "n_chars", "label"))
-            split = [_words(t) for t in texts]
+def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Labelled documents -> all features of their texts, and their figures."""
+    for batch in batches:
+        for part in _parts(batch):
+            texts = part.column("text")
+            words = Words(texts)
+            doc, feature = text_features(words, [word_features(w) for w in words.words])
+            features = [x.astype("<u4").tobytes() for x in split_rows(doc, feature, part.num_rows)]
             yield pa.record_batch({
-                "doc_id": pa.array(ids, pa.int64()), "label": pa.array(labels, pa.float64()), "source": pa.array(sources, pa.string()), "lang": pa.array(langs, pa.string()),
-                "present": pa.array([features_of(ws).astype(np.uint32).tobytes() for ws in split], pa.binary()), "figures": pa.array([layout(t, n, ws) for t, n, ws in zip(texts, sizes, split, strict=True)], pa.list_(pa.float64())),
+                **{c: part.column(c) for c in ("doc_id", "label", "source", "lang", "n_chars")},
+                "features": pa.array(features, pa.binary()), "figures": pa.array([r.tobytes() for r in layout(texts, words)], pa.binary()),
             })
 
 
-def _inputs(docs: DataFrame) -> DataFrame:
-    small_batches(docs.sparkSession)
-    return docs.select(*(F.col(c).cast(t).alias(c) for c, t in (("doc_id", "long"), ("text", "string"), ("lang", "string"), ("source", "string"), ("n_chars", "long"))))
+class _Reader:
+    """Batches of documents -> the features of both views; of text features only the ``wanted``."""
+
+    def __init__(self, edges: list[np.ndarray], lengths: np.ndarray, wanted: set[int]):
+        self.edges, self.lengths, self.known = edges, lengths, {}
+        self.wanted = np.array(sorted(wanted), np.int64)
+        self.of_words = wanted | {f ^ FREQUENT for f in wanted}
+
+    def features(self, word: str) -> tuple[int, ...]:
+        if (found := self.known.get(word)) is None:
+            if len(self.known) >= MEMORY:
+                self.known.clear()
+            found = self.known[word] = tuple(f for f in word_features(word) if f in self.of_words)
+        return found
+
+    def __call__(self, part: pa.RecordBatch) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        texts, n = part.column("text"), part.num_rows
+        words = Words(texts)
+        doc, feature = text_features(words, list(map(self.features, words.words)))
+        figures = binned(self.edges, layout(texts, words))
+        doc, feature = np.concatenate((doc, np.repeat(np.arange(n), figures.shape[1]))), np.concatenate((feature, figures.ravel()))
+        held = np.isin(feature, self.wanted)
+        meta = metadata_features(self.lengths, *(part.column(c).to_pylist() for c in ("source", "lang", "n_chars")))
+        return split_rows(doc[held], feature[held], n), meta
+
+
+POOL = "doc_id long, text_features binary, meta_features binary"
+
+
+def _compact(edges: list[np.ndarray], lengths: np.ndarray, wanted: set[int]):
+    def run(batches):
+        read = _Reader(edges, lengths, wanted)
+        for batch in batches:
+            for part in _parts(batch):
+                text, meta = read(part)
+                packed = lambda rows: pa.array([np.sort(r).astype("<u4").tobytes() for r in rows], pa.binary())
+                yield pa.record_batch({"doc_id": part.column("doc_id"), "text_features": packed(text), "meta_features": packed(meta)})
+
+    return run
+
+
+def _surest(pool: DataFrame, view: int, model: Linear, limits: tuple[float, float], n: int) -> list[tuple]:
+    """Of all of the pool, the n documents of a class of which a view is surest, beyond its limits: (id, label, text, metadata features)."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                odds = model.odds_of([np.frombuffer(x.as_buffer(), "<u4") for x in part.column(1 + view)])
+                sure = (odds >= limits[0]) | (-odds >= limits[1])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(odds)], names=[*part.schema.names, "odds"]).filter(pa.array(sure))
+
+    scored = pool.mapInArrow(releasing(run), POOL + ", odds double")
+    found = []
+    for label, limit in ((1.0, limits[0]), (0.0, limits[1])):
+        if np.isfinite(limit):
+            way = F.col("odds") if label else -F.col("odds")
+            top = scored.where(way >= limit).orderBy(way.desc(), F.xxhash64("doc_id"), "doc_id").limit(n).collect()
+            found += [(r.doc_id, label, np.frombuffer(r.text_features, "<u4").astype(np.int64), np.frombuffer(r.meta_features, "<u4").astype(np.int64)) for r in top]
+    return found
 
 
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = 5000, pool: int = 1500, rounds: int = 3, sure: float = 0.95, per_round: int = 60) -> Model:
-    """Co-train on at most ``labelled`` labelled and ``pool`` unlabelled documents.
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = 5000, rounds: int = 3, sure: float = 0.95, per_round: int = 200) -> Model:
+    """Co-train on at most ``labelled`` labelled documents and pseudo-labels from all others.
 
     Rows of labels with a null id, quality or toxic are ignored; of several labels of a document, it is
-    good if all say so. A label without its document is ignored too. Each round moves up to per_round
-    documents a class and view, whose calibrated probability is at least ``sure``. Without labels every
-    document counts as good.
+    good if all say so. A label without its document is ignored too; of documents of one id the one with
+    the least hash counts. Each round a view labels up to per_round documents a class, of
+    different features, whose calibrated probability is at least ``sure``, and only where that is proven on the
+    documents kept aside. Without labels every document counts as good.
     """
     known = labels.where("doc_id is not null and quality is not null and toxic is not null")
     known = known.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min(((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("double")).alias("label"))
     rows = _inputs(docs)
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(labelled)
     some = rows.join(F.broadcast(chosen), rows["doc_id"] == chosen["id"]).drop("id")
-    ids = rows.select("doc_id").where("doc_id is not null").join(known.select("id"), F.col("doc_id") == F.col("id"), "left_anti")
-    others = ids.distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(pool)
-    free = rows.join(F.broadcast(others), "doc_id").withColumn("label", F.lit(None).cast("double"))
-    shape = "doc_id long, label double, source string, lang string, present binary, figures array<double>"
-    table = some.unionByName(free).mapInArrow(releasing(_featurise), shape).toArrow()  # labelled + pool documents at most, copies of an id aside
-    present = table.column("present").combine_chunks()
-    present = present if isinstance(present, pa.Array) else present.chunk(0)
-    ends = np.frombuffer(present.buffers()[1], np.int32)[present.offset :][: len(present) + 1] if len(present) else np.zeros(1, np.int32)
-    found = [np.frombuffer(present.buffers()[2], np.uint32, (b - a) // 4, a) if b > a else np.zeros(0, np.uint32) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-    data = table.drop_columns(["present"]).to_pandas()
-    data["check"] = [zlib.crc32(x.tobytes()) for x in found]
-    data = data.sort_values(["doc_id", "check"]).drop_duplicates("doc_id")
-    found = [found[i] for i in data.index]
-    model = cotrain(data.drop(columns="check").reset_index(drop=True), found, rounds, sure, per_round)
-    del table, present, ends, found, data
+    # One document an id, before anything comes to the driver.
+    names = [c for c, _ in INPUTS if c != "doc_id"] + ["label"]
+    one = some.groupBy("doc_id").agg(F.min_by(F.struct(*names), F.struct(F.xxhash64("text", "lang", "source", "n_chars"))).alias("d")).select("doc_id", "d.*")
+    shape = "doc_id long, label double, source string, lang string, n_chars long, features binary, figures binary"
+    sample = one.mapInArrow(releasing(_sampled), shape).toPandas()  # ``labelled`` rows at most
+    sample = sample.sort_values("doc_id").reset_index(drop=True)
+    label = sample["label"].to_numpy(float)
+    figures = np.array([np.frombuffer(x) for x in sample["figures"]]) if len(sample) else np.zeros((0, 0))
+    bins = lambda col: np.unique(np.quantile(col, np.arange(1, BINS) / BINS))
+    edges = [bins(col) for col in figures.T] if len(sample) else []
+    lengths = bins(sample["n_chars"].fillna(0).to_numpy(float)) if len(sample) else np.zeros(0)
+    if len(sample) < 20 or len(set(label)) < 2:
+        return Model(edges, lengths, Linear({}, 0.0 if not len(sample) or label.mean() >= 0.5 else -10.0), Linear({}, 0.0), np.array([1.0, 0.0, 0.0, 5.0]))
+    text = [np.concatenate((np.frombuffer(x, "<u4").astype(np.int64), b)) for x, b in zip(sample["features"], binned(edges, figures), strict=True)]
+    whole = lambda c: [None if pd.isna(x) else x for x in sample[c]]
+    meta = metadata_features(lengths, whole("source"), whole("lang"), whole("n_chars"))
+    ids, index = np.unique(np.concatenate(text), return_inverse=True)
+    chi = _evidence(index, np.repeat(np.arange(len(text)), [len(x) for x in text]), label, len(ids))
+    best = np.argsort(-chi, kind="stable")[:CANDIDATES]
+    wanted = set(ids[best[chi[best] >= CANDIDATE_CHI]].tolist())
+    text = [x[np.isin(x, np.array(sorted(wanted), np.int64))] for x in text]
+    aside = np.array([zlib.crc32(str(i).encode()) % 4 == 0 for i in sample["doc_id"]])
+    free = rows.mapInArrow(releasing(_compact(edges, lengths, wanted)), POOL)
+    free = free.join(known.select("id"), F.col("doc_id") == F.col("id"), "left_anti").groupBy("text_features", "meta_features").agg(F.min("doc_id").alias("doc_id"))
+    pool: list[DataFrame] = []
+
+    def surest(view: int, model: Linear, limits: tuple[float, float]) -> list[tuple]:
+        if not pool:
+            pool.append(materialize(free.select("doc_id", "text_features", "meta_features"), "quality-pool"))
+        return _surest(pool[0], view, model, limits, per_round)
+
+    model = cotrain(label, aside, text, meta, surest, rounds, sure)
+    for table in pool:
+        drop(table)
     release_memory()
-    return model
-
-
-def cotrain(data, present: list[np.ndarray], rounds: int, sure: float, per_round: int) -> Model:
-    """data: ``doc_id, label (or null), source, lang, figures``; present: each row's text features."""
-    figures = np.array(data["figures"].tolist(), float).reshape(len(data), FIGURES)
-    edges = [np.unique(np.quantile(col, np.arange(1, BINS) / BINS)) if len(col) else np.zeros(0) for col in figures.T]
-    text_ids, text = _dense(present, LEAST_DOCUMENTS)
-    meta_ids, meta = _dense([np.array(_meta_features(edges, s, g, f), np.uint32) for s, g, f in zip(data["source"], data["lang"], figures, strict=True)], 1)
-    label = data["label"].to_numpy(float)
-    marked = np.flatnonzero(~np.isnan(label))
-    if len(marked) < 20 or len(set(label[marked])) < 2:
-        same = Linear({}, 0.0 if not len(marked) or label[marked].mean() >= 0.5 else -10.0)
-        return Model(edges, same, Linear({}, 0.0), np.array([1.0, 0.0, 0.0, 5.0]))
-    aside = np.array([zlib.crc32(str(i).encode()) % 4 == 0 for i in data["doc_id"]])
-    held, train = marked[aside[marked]], marked[~aside[marked]]
-    if len(set(label[held])) < 2 or len(set(label[train])) < 2:
-        held = train = marked
-    free = np.flatnonzero(np.isnan(label))
-    views = [text, meta]
-    taught: list[dict[int, float]] = [{}, {}]  # pseudo-labels that each view learns from
-    scored = lambda model, rows, at: np.array([model.raw(rows[i].tolist()) for i in at])
-    models: list[Linear] = [None, None]
+    return Model(edges, lengths, *model)
+
+
+def cotrain(label: np.ndarray, aside: np.ndarray, text: list[np.ndarray], meta: list[np.ndarray], surest, rounds: int, sure: float) -> tuple[Linear, Linear, np.ndarray, tuple[int, int]]:
+    """(text view, metadata view, combination, pseudo-labels given by each). surest(view, model, limits) gives a view's surest unlabelled documents."""
+    if len(set(label[aside])) < 2 or len(set(label[~aside])) < 2:
+        train = held = np.arange(len(label))
+    else:
+        train, held = np.flatnonzero(~aside), np.flatnonzero(aside)
+    views = (text, meta)
+    taught: tuple[dict, dict] = ({}, {})  # per view, what it learns from: document features -> (label, features of both views)
+    given, models, odds = [0, 0], [None, None], [None, None]
     for turn in range(rounds + 1):
         for v in (0, 1):
-            at = np.concatenate((train, np.fromiter(taught[v], int)))
-            y = np.concatenate((label[train], np.fromiter(taught[v].values(), float)))
-            models[v] = _fit([views[v][i] for i in at], y, screen=v == 0)
-            models[v].calibrate(scored(models[v], views[v], held), label[held])
-        if turn == rounds:
+            rows = [views[v][i] for i in train] + [x[1 + v] for x in taught[v].values()]
+            models[v] = _fit(rows, np.concatenate((label[train], [x[0] for x in taught[v].values()])), faults=v == 0)
+            of_held = [views[v][i] for i in held]
+            models[v].calibrate(np.array([models[v].raw(r.tolist()) for r in of_held]), label[held])
+            odds[v] = models[v].odds_of(of_held)
+        before = sum(given)
+        for v in (0, 1) if turn < rounds else ():
+            # A view teaches a class only from a confidence at which it is right on the documents kept aside.
+            limits = _proven(odds[v], label[held] == 1, sure), _proven(-odds[v], label[held] == 0, sure)
+            for key, value, *both in surest(v, models[v], limits) if np.isfinite(min(limits)) else ():
+                if key not in taught[1 - v]:
+                    taught[1 - v][key] = (value, *both)
+                    given[v] += 1
+        if sum(given) == before:  # nothing new to learn
             break
-        for v in (0, 1):
-            rest = np.array([i for i in free if i not in taught[1 - v]], int)
-            tested = models[v].log_odds(scored(models[v], views[v], held))
-            odds = models[v].log_odds(scored(models[v], views[v], rest))
-            for value, way in ((1.0, 1), (0.0, -1)):
-                # A view teaches a class only from a confidence at which it is right on the documents kept aside.
-                limit = _proven(way * tested, label[held] == value, sure)
-                order = rest[np.argsort(-way * odds, kind="stable")][:per_round]
-                taught[1 - v].update({int(i): value for i, x in zip(order, np.sort(-way * odds, kind="stable"), strict=False) if -x >= limit})
-    odds = [models[v].log_odds(scored(models[v], views[v], held)) for v in (0, 1)]
     mix = _logistic(np.stack([*_both(*odds), np.ones(len(held))], axis=1), label[held], 1e-3)
-    for m, ids in zip(models, (text_ids, meta_ids), strict=True):
-        m.weights = {int(ids[k]): x for k, x in m.weights.items() if abs(x) > 1e-3}
-    return Model(edges, models[0], models[1], mix)
+    return models[0], models[1], mix, (given[0], given[1])
+
+
+# --- scoring -------------------------------------------------------------------------------------------
 
 
 def _scored(model: Model):
-    known: dict[str, tuple] = {}
-    wanted = {f for f in model.text.weights} | {f ^ FREQUENT for f in model.text.weights}
-
-    def one(text, lang, source, n_chars):
-        words = _words(text)
-        if len(known) > MEMORY:
-            known.clear()
-        for w in [w for w in set(words) if w not in known]:
-            known[w] = tuple(f for f in word_features(w) if f in wanted)
-        # Most words have no feature of weight.
-        count = Counter(chain.from_iterable([x for x in map(known.__getitem__, words) if x]))
-        often = max(OFTEN, SHARE * len(words))
-        text_odds = model.text.log_odds(model.text.raw(chain(count, [f ^ FREQUENT for f, k in count.items() if k >= often])))
-        meta_odds = model.meta.log_odds(model.meta.raw(model.meta_features(source, lang, layout(text, n_chars, words))))
-        return text_odds, meta_odds, model.combined(text_odds, meta_odds)
+    """Batches with text, lang, source and n_chars -> rows of both views' and the combined log odds."""
+    read = _Reader(model.edges, model.lengths, set(model.text.weights))
 
     def run(batch: pa.RecordBatch) -> np.ndarray:
         out = []
-        for at in range(0, batch.num_rows, 500):
-            some = batch.slice(at, 500)
-            out += [one(*x) for x in zip(*(some.column(c).to_pylist() for c in ("text", "lang", "source", "n_chars")), strict=True)]
-        return np.array(out, float).reshape(-1, 3)
+        for part in _parts(batch):
+            text, meta = read(part)
+            both = model.text.odds_of(text), model.meta.odds_of(meta)
+            out.append(np.stack((*both, model.combined(*both)), axis=1))
+        return np.concatenate(out) if out else np.zeros((0, 3))
 
     return run
 
@@ -337,7 +445,10 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """The documents that score() keeps, with the columns of docs."""
+    """The documents that score() keeps, with the columns of docs, whatever their names; nulls as there.
+
+    Repeated rows stay or go together, each as often as it occurs. An empty table gives none.
+    """
     limit = np.log(threshold / (1 - threshold))
 
     def run(batches):

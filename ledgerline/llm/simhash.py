@@ -19,8 +19,8 @@ value, comparisons are emitted as a spanning forest, not as pairs. Values held b
 dealt to several tasks. No links, components or fingerprints come to the driver; what does is counts:
 64 x 64 of bits, and at most 65,536 for a group.
 
-The pipeline's stage (one_of_each) asks for all pairs of a Jaccard similarity, which fingerprints only find
-with some chance; it joins shingle sets by their rarest shingles instead.
+The pipeline's stage (one_of_each) asks for all pairs of a Jaccard similarity. Fingerprints find most of
+them, but each only with some chance; what they leave open is settled by the rarest shingles of the sets.
 """
 
 from __future__ import annotations
@@ -32,10 +32,11 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import connected_components, materialize, releasing, small_batches
+from ledgerline.llm.common import connected_components, drop, materialize, mixed, numbered_words, releasing, small_batches
 
 SEED = 42
 #: Cost of a row sent, as comparisons of two fingerprints.
@@ -183,13 +184,13 @@ def _values(fps: np.ndarray, group: list[int]) -> np.ndarray:
     return out
 
 
-def make_plan(fps: DataFrame, max_bits: int, share: float = 1.0) -> tuple[list[list[int]], list[int], float]:
-    """Bit groups, their thresholds, and a bound on the looked-up rows at a value; share: of all pairs, those that may meet (in bands)."""
+def make_plan(fps: DataFrame, max_bits: int) -> tuple[list[list[int]], list[int], float]:
+    """Bit groups, their thresholds, and a bound on the looked-up rows at a value."""
     n, both = bit_counts(fps)
 
     def even(m: int) -> float:
         widths = [64 // m + (k < 64 % m) for k in range(m)]
-        return allot([[ROW_COST * n * rows_sent(w, t) + share * even_pairs(n, w, t) for t in range(-1, max_bits + 1)] for w in widths], max_bits - m + 1)[0]
+        return allot([[ROW_COST * n * rows_sent(w, t) + even_pairs(n, w, t) for t in range(-1, max_bits + 1)] for w in widths], max_bits - m + 1)[0]
 
     m = min(range(2, max(2, min(8, max_bits + 1)) + 1), key=even)
     groups = group_bits(n, both, m)
@@ -216,7 +217,7 @@ def make_plan(fps: DataFrame, max_bits: int, share: float = 1.0) -> tuple[list[l
         if rest:
             pairs = np.convolve(pairs, [comb(rest, d) / 2.0**rest for d in range(rest + 1)])
         upto = np.cumsum(pairs)
-        cost.append([0.0] + [ROW_COST * n * rows_sent(len(g), t) + share * upto[min(t, len(upto) - 1)] for t in range(max_bits + 1)])
+        cost.append([0.0] + [ROW_COST * n * rows_sent(len(g), t) + upto[min(t, len(upto) - 1)] for t in range(max_bits + 1)])
     thresholds = allot(cost, max_bits - m + 1)[1]
     return groups, thresholds, max((c * near(len(g), t // 2) for g, t, c in zip(groups, thresholds, largest, strict=True)), default=0)
 
@@ -229,30 +230,22 @@ def _flips(width: int, t: int) -> np.ndarray:
     return np.array([sum(1 << b for b in bits) for d in range(t + 1) for bits in combinations(range(width), d)], np.uint64)
 
 
-def _signatures(groups: list[list[int]], thresholds: list[int], banded: bool):
+def _signatures(groups: list[list[int]], thresholds: list[int]):
     """A row for each value at which a fingerprint is to be met. side 0 is looked up, side 1 looks; at threshold 0 one row does both (side 2)."""
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                fps = part.column(0).to_numpy().view(np.uint64)
-                bands = part.column(1).to_numpy() if banded else np.zeros(len(fps), np.int32)
+                fps = batch.column(0).slice(at, 4096).to_numpy().view(np.uint64)
                 for k, (g, t) in enumerate(zip(groups, thresholds, strict=True)):
                     values = _values(fps, g)
-                    for side, reach in ([] if t < 0 else [(2, 0)] if t == 0 else [(0, t // 2), (1, t - t // 2)]):
+                    for side, reach in [] if t < 0 else [(2, 0)] if t == 0 else [(0, t // 2), (1, t - t // 2)]:
                         masks = _flips(len(g), reach)
-                        looks = [bands, bands + 1] if banded and side == 1 else [bands]
-                        if banded and side == 2:
-                            looks = [bands, bands + 1]  # met in the own band, looks into the next
-                        for way, band in enumerate(looks):
-                            shape = (len(fps), len(masks))
-                            kind = side if not (banded and side == 2) else (2 if way == 0 else 1)
-                            yield pa.record_batch({
-                                "part": pa.array(np.full(shape, k).ravel(), pa.int32()), "band": pa.array(np.broadcast_to(band[:, None], shape).ravel(), pa.int32()),
-                                "value": pa.array((values[:, None] ^ masks[None, :]).ravel().view(np.int64)), "side": pa.array(np.full(shape, kind).ravel(), pa.int8()),
-                                "fp": pa.array(np.repeat(fps, len(masks)).view(np.int64)),
-                            })
+                        shape = (len(fps), len(masks))
+                        yield pa.record_batch({
+                            "part": pa.array(np.full(shape, k).ravel(), pa.int32()), "value": pa.array((values[:, None] ^ masks[None, :]).ravel().view(np.int64)),
+                            "side": pa.array(np.full(shape, side).ravel(), pa.int8()), "fp": pa.array(np.repeat(fps, len(masks)).view(np.int64)),
+                        })
 
     return run
 
@@ -299,7 +292,7 @@ def _compare(max_bits: int, pairs_wanted: bool):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("part", "band", "value", "salt")])
+            key = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("part", "value", "salt")])
             side, fp = batch.column("side").to_numpy(), batch.column("fp").to_numpy().view(np.uint64)
             new = np.concatenate(([True], (key[:, 1:] != key[:, :-1]).any(axis=0)))
             starts = np.flatnonzero(new)
@@ -339,30 +332,23 @@ def _compare(max_bits: int, pairs_wanted: bool):
     return run
 
 
-def near_links(fps: DataFrame, max_bits: int, banded: bool = False, pairs: bool = False) -> DataFrame:
-    """Links ``(src, dst)`` between distinct fingerprints ``fps(fp[, band])`` at max_bits or fewer bits.
+def near_links(fps: DataFrame, max_bits: int, pairs: bool = False) -> DataFrame:
+    """Links ``(src, dst)`` between the distinct fingerprints ``fps(fp)`` at max_bits or fewer bits.
 
     A spanning forest of them per value and chunk, which connects whatever all links would; or with
-    pairs=True every link (some of them several times). banded: only rows of equal or adjacent ``band``
-    are met.
+    pairs=True every link (some of them several times).
     """
     spark = fps.sparkSession
-    share = 1.0
-    if banded:
-        sizes = dict(fps.groupBy("band").count().collect())  # a row for each quarter's growth in length
-        n = max(1, sum(sizes.values()))
-        share = sum(c * (c + 2 * sizes.get(b + 1, 0)) for b, c in sizes.items()) / n**2
-    groups, thresholds, most = make_plan(fps, max_bits, share)
-    rows = fps.select("fp", F.col("band").cast("int").alias("band")) if banded else fps.select("fp")
-    made = rows.mapInArrow(releasing(_signatures(groups, thresholds, banded)), "part int, band int, value long, side byte, fp long")
-    held = materialize(made.where("side <> 1").groupBy("part", "band", "value").count().where(F.col("count") > HOT), "hot-values") if most > HOT else None
+    groups, thresholds, most = make_plan(fps, max_bits)
+    made = fps.select("fp").mapInArrow(releasing(_signatures(groups, thresholds)), "part int, value long, side byte, fp long")
+    held = materialize(made.where("side <> 1").groupBy("part", "value").count().where(F.col("count") > HOT), "hot-values") if most > HOT else None
     if held is not None and held.take(1):
         # Hot values: looked-up rows go to one of several tasks, looking rows to all of them.
         n = F.ceil(F.col("count") / HOT).cast("int")
-        joined = made.join(held, ["part", "band", "value"], "left")
+        joined = made.join(held, ["part", "value"], "left")
         salt = F.when(F.col("count").isNull(), F.array(F.lit(0))).when(F.col("side") == 0, F.array(F.pmod(F.xxhash64("fp"), n).cast("int"))).otherwise(F.sequence(F.lit(0), n - 1))
         own = F.when(F.col("count").isNotNull(), F.pmod(F.xxhash64("fp"), n).cast("int"))
-        made = joined.select("part", "band", "value", "side", "fp", own.alias("own"), F.explode(salt).alias("salt"))
+        made = joined.select("part", "value", "side", "fp", own.alias("own"), F.explode(salt).alias("salt"))
         # A row of both sides is looked up only in its own task; in the others it only looks.
         both = (F.col("side") == 2) & F.col("own").isNotNull()
         made = made.withColumn("side", F.when(both & (F.col("salt") == F.col("own")), F.lit(0)).when(both, F.lit(1)).otherwise(F.col("side")).cast("byte"))
@@ -371,7 +357,7 @@ def near_links(fps: DataFrame, max_bits: int, banded: bool = False, pairs: bool
     else:
         made = made.withColumn("salt", F.lit(0))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = made.repartition(n, "part", "band", "value", "salt").sortWithinPartitions("part", "band", "value", "salt", F.col("side") == 1)
+    dealt = made.repartition(n, "part", "value", "salt").sortWithinPartitions("part", "value", "salt", F.col("side") == 1)
     return dealt.mapInArrow(releasing(_compare(max_bits, pairs)), "src long, dst long")
 
 
@@ -391,20 +377,50 @@ def near_duplicates(docs: DataFrame, size: int = 3, max_bits: int = 3) -> DataFr
     named = distinct.join(comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     ids = materialize(named.join(least, "component").select("fp", "component_id"), "component-ids")
+    for table in (distinct, comps):
+        drop(table)
     out = rows.join(ids, "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 # --- one document of each group -------------------------------------------------------------------
 
+#: Bits by which fingerprints of the stage's first candidates differ.
+STAGE_BITS = 6
 #: Texts compared with one text in a task.
 BLOCK_TEXTS = 4000
-#: Counters of shingles, and the slices in which tasks send them.
-COUNTERS, SLICES = 1 << 20, 64
-
-
-def shingle_set(text: str | None, size: int) -> np.ndarray:
-    return np.unique(shingle_hashes(tokens_of(text), size))
+#: Counters of shingles (their levels are sent to every task: 16 MB), and the slices in which tasks send counts.
+COUNTERS, SLICES = 1 << 24, 64
+#: Rounds in which a group is compared with one other before all pairs that are left are.
+HEAD_ROUNDS = 2
+#: Texts up to which their keys are broadcast to find them.
+MAX_BROADCAST = 200_000
+#: Bytes of text taken apart at once, about.
+TEXT_BYTES = 2_000_000
+
+
+def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
+    """Each text's distinct word shingles as sorted 64-bit hashes, mixed from the words' XXH64; of all words, if there are fewer."""
+    words, codes, sizes = numbered_words(texts)
+    names = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words))
+    ends = np.cumsum(sizes)
+    word = gram = names[codes]
+    short = np.zeros(len(sizes), np.uint64)
+    for k in range(1, size + 1):
+        if k > 1:
+            longer = np.zeros_like(gram)
+            longer[1:] = mixed(gram[:-1], word[1:])
+            gram = longer
+        if k < size:
+            short[sizes == k] = gram[ends[sizes == k] - 1]
+    return [np.unique(gram[e - n + size - 1 : e]) if n >= size else short[i : i + 1] if n else gram[:0] for i, (e, n) in enumerate(zip(ends.tolist(), sizes.tolist(), strict=True))]
+
+
+def _sets(batch: pa.RecordBatch, column: int, size: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    step = max(1, int(batch.num_rows * TEXT_BYTES / max(1, batch.nbytes)))
+    for at in range(0, batch.num_rows, step):
+        part = batch.slice(at, step)
+        yield part, shingle_sets(part.column(column), size)
 
 
 def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
@@ -419,53 +435,52 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
 
 
 def shingle_levels(texts: DataFrame, size: int) -> np.ndarray:
-    """How often shingles occur, by the low bits of their hash, in quarters of a doubling; counted in a quarter of
-    the texts. It only orders shingles, rare ones first: any order would lead to the same pairs."""
+    """How many texts hold shingles, by the low bits of their hash, in quarters of a doubling. It only orders
+    shingles, rare ones first: any order would lead to the same pairs."""
 
     def count(batches):
-        total, any_ = np.zeros(COUNTERS, np.int32), False
+        total, most = np.zeros(COUNTERS, np.uint16), np.iinfo(np.uint16).max
         for batch in batches:
-            for t in batch.column(0):
-                np.add.at(total, (shingle_set(t.as_py(), size) & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
-                any_ = True
-        if any_:
-            yield pa.record_batch({"slice": pa.array(range(SLICES), pa.int32()), "counts": pa.array([c.tobytes() for c in np.split(total, SLICES)], pa.binary())})
+            for _, sets in _sets(batch, 0, size):
+                at, n = np.unique((np.concatenate(sets) & np.uint64(COUNTERS - 1)).astype(np.int64), return_counts=True)
+                total[at] = np.minimum(total[at] + n, most)
+        if total.any():
+            yield pa.record_batch({"slice": pa.array(range(SLICES), pa.int32()), "counts": pa.array([zstandard.compress(c.tobytes(), 1) for c in np.split(total, SLICES)], pa.binary())})
 
     def add(batches):
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, c in zip(batch.column(0), batch.column(1), strict=True):
-                total[k.as_py()] = total.get(k.as_py(), 0) + np.frombuffer(c.as_py(), np.int32).astype(np.int64)
+                total[k.as_py()] = total.get(k.as_py(), 0) + np.frombuffer(zstandard.decompress(c.as_py()), np.uint16).astype(np.uint32)
         if total:
-            levels = [np.minimum(255, 4 * np.log2(1 + c)).astype(np.uint8).tobytes() for c in total.values()]
+            levels = [zstandard.compress(np.minimum(255, 4 * np.log2(1.0 + c)).astype(np.uint8).tobytes(), 1) for c in total.values()]
             yield pa.record_batch({"slice": pa.array(list(total), pa.int32()), "levels": pa.array(levels, pa.binary())})
 
-    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(4)) == 0).select("text")
-    counted = some.mapInArrow(releasing(count), "slice int, counts binary").repartition(SLICES, "slice")
+    counted = texts.select("text").mapInArrow(releasing(count), "slice int, counts binary").repartition(SLICES, "slice")
     levels = np.zeros((SLICES, COUNTERS // SLICES), np.uint8)
-    for r in counted.mapInArrow(releasing(add), "slice int, levels binary").collect():  # a megabyte in all
-        levels[r.slice] = np.frombuffer(r.levels, np.uint8)
+    for r in counted.mapInArrow(releasing(add), "slice int, levels binary").collect():  # COUNTERS bytes at most
+        levels[r.slice] = np.frombuffer(zstandard.decompress(r.levels), np.uint8)
     return levels.ravel()
 
 
 def _prefixes(size: int, similarity: float, levels: np.ndarray):
-    """(doc_id, key, text) -> the hash of the text's shingle set, the set's size and its prefix: so many of its
+    """(doc_id, key, text) -> the hash of the text's shingle set, its fingerprint, its size and its prefix: so many of its
     rarest shingles that a similar set must hold one of them."""
 
     def run(batches):
         for batch in batches:
-            nodes, sizes, prefixes = [], [], []
-            for t in batch.column(2):
-                mine = shingle_set(t.as_py(), size)
-                n = len(mine)
-                nodes.append(xxhash.xxh64_intdigest(mine.tobytes(), SEED))
-                sizes.append(n)
-                order = np.argsort(levels[(mine & np.uint64(COUNTERS - 1)).astype(np.int64)], kind="stable")
-                prefixes.append(mine[order[: n - int(np.ceil(similarity * n - 1e-9)) + 1]].view(np.int64))
-            yield pa.record_batch({
-                "doc_id": batch.column(0), "key": batch.column(1), "node": pa.array(np.array(nodes, np.uint64).view(np.int64)),
-                "size": pa.array(sizes, pa.int32()), "prefix": pa.array(prefixes, pa.list_(pa.int64())),
-            })
+            for part, sets in _sets(batch, 2, size):
+                nodes, fps, prefixes = [], [], []
+                for mine in sets:
+                    n = len(mine)
+                    nodes.append(xxhash.xxh64_intdigest(mine.tobytes(), SEED))
+                    fps.append(fingerprint(mine))
+                    order = np.argsort(levels[(mine & np.uint64(COUNTERS - 1)).astype(np.int64)], kind="stable")
+                    prefixes.append(mine[order[: n - int(np.ceil(similarity * n - 1e-9)) + 1]].view(np.int64))
+                yield pa.record_batch({
+                    "doc_id": part.column(0), "key": part.column(1), "node": pa.array(np.array(nodes, np.uint64).view(np.int64)), "fp": pa.array(np.array(fps, np.uint64).view(np.int64)),
+                    "size": pa.array([len(x) for x in sets], pa.int32()), "prefix": pa.array(prefixes, pa.list_(pa.int64())),
+                })
 
     return run
 
@@ -476,15 +491,15 @@ def _similar_pairs(size: int, similarity: float):
     def run(batches):
         mine = None
         for batch in batches:
-            found = []
-            for a, b, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
-                theirs = shingle_set(t.as_py(), size)
-                if b is None:
-                    mine = theirs
-                elif similar(mine, theirs, similarity):
-                    found.append((a, b))
-            if found:
-                yield pa.record_batch({"src": pa.array([a for a, _ in found], pa.int64()), "dst": pa.array([b for _, b in found], pa.int64())})
+            for part, sets in _sets(batch, 3, size):
+                found = []
+                for a, b, theirs in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), sets, strict=True):
+                    if b is None:
+                        mine = theirs
+                    elif similar(mine, theirs, similarity):
+                        found.append((a, b))
+                if found:
+                    yield pa.record_batch({"src": pa.array([a for a, _ in found], pa.int64()), "dst": pa.array([b for _, b in found], pa.int64())})
 
     return run
 
@@ -501,18 +516,59 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, size: int, similarity: flo
     return materialize(rows.mapInArrow(releasing(_similar_pairs(size, similarity)), "src long, dst long"), "dedup-similar")
 
 
-def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
+def fingerprint_pairs(sets: DataFrame, max_bits: int) -> DataFrame:
+    """Pairs ``(a, b)`` of ``sets(node, fp)`` that SimHash links: a set with the least one of its fingerprint, and these along near_links()."""
+    least = materialize(sets.groupBy("fp").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")), "dedup-fingerprints")
+    equal = sets.select("fp", "node").join(least.where("n > 1"), "fp").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    links = materialize(near_links(least.select("fp"), max_bits), "dedup-links")
+    of = lambda fp, name: least.select(F.col("fp").alias(fp), F.col("head").alias(name))
+    near_ = links.join(of("src", "x"), "src").join(of("dst", "y"), "dst")
+    return equal.union(near_.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct()
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST else df
+
+
+def _where_groups_meet(at: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """Those rows ``(shingle, node, size, pos)`` at whose shingle there are several groups, with their ``group``: that of ``groups``, or else the node.
+
+    Shingles are counted first, folded before the shuffle, and rows joined to those of several groups; so a shingle of
+    very many sets is no task's alone.
+    """
+    if groups is None:
+        at, several = at.withColumn("group", F.col("node")), at.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    else:
+        at = at.join(groups, "node", "left").withColumn("group", F.coalesce("component", "node"))
+        several = at.groupBy("shingle").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high")
+    return materialize(at.join(several.select("shingle"), "shingle").select("shingle", "node", "size", "pos", "group"), "dedup-shared")
+
+
+def _heads(shared: DataFrame, similarity: float) -> DataFrame:
+    """A pair ``(a, b)`` for each group that meets another: its set that meets the least set of all, and that one. Sizes must fit."""
+    first = shared.groupBy("shingle").agg(F.min(F.struct("node", "size", "group")).alias("head"))
+    met = shared.join(first, "shingle").where(F.col("group") != F.col("head.group"))
+    met = met.where(F.least("size", "head.size") >= similarity * F.greatest("size", "head.size") - 1e-9)
+    best = met.groupBy("group").agg(F.min(F.struct(F.col("head.node").alias("a"), F.col("node").alias("b"))).alias("p"))
+    return best.select("p.a", "p.b")
+
+
+def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8, max_bits: int = STAGE_BITS) -> DataFrame:
     """docs with one document of each group of near copies, the one of the smallest id.
 
     Near copies have word shingles (size words) of Jaccard similarity ``similarity`` or more; groups are
-    connected by such pairs. No such pair is missed but for collisions of 64-bit hashes: with all
-    shingles in one order, rare ones first, two similar sets have the first shingle that they share
-    within the prefixes of both (about a fifth of a set at 0.8). Equal sets are folded first. Where a
-    shingle is in several prefixes, the texts are compared with the first of them; then, of all pairs
-    at a shingle, those that are not in one group yet and that sizes and positions allow.
-
-    Texts without words (null, empty) are copies of one another. Of rows equal in id and text one stays.
-    Columns and their names stay as they are.
+    connected by such pairs. Candidates are compared by their shingle sets:
+
+    1. those whose SimHash fingerprints differ by max_bits bits or fewer, which finds most;
+    2. of the pairs that are not in one group yet, those that the prefixes of their sets leave open. With
+       all shingles in one order, rare ones first, two similar sets have the first shingle that they
+       share within the prefixes of both (about a fifth of a set at 0.8). In HEAD_ROUNDS rounds each group
+       is compared with the first one that it meets at a shingle; then all pairs of sets of different
+       groups that meet and that sizes and positions allow.
+
+    So no similar pair is missed but for collisions of 64-bit hashes, whatever max_bits is. Equal sets are
+    folded first. Texts without words (null, empty) are copies of one another. Of rows equal in id and
+    text one stays. Columns and their names stay as they are. An empty table gives no rows.
     """
     small_batches(docs.sparkSession)
     columns = docs.columns
@@ -520,39 +576,55 @@ def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Data
     packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in columns]).alias("row"))
     keyed = packed.select(F.col("row.doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(F.coalesce(text, F.lit("")))).alias("key"), text.alias("text"), "row")
     levels = shingle_levels(keyed, size)
-    made = keyed.select("doc_id", "key", "text").mapInArrow(releasing(_prefixes(size, similarity, levels)), "doc_id long, key binary, node long, size int, prefix array<long>")
+    made = keyed.select("doc_id", "key", "text").mapInArrow(releasing(_prefixes(size, similarity, levels)), "doc_id long, key binary, node long, fp long, size int, prefix array<long>")
     rows = materialize(made, "dedup-rows")
     # min of a struct: a null id is taken only where there is no other.
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "key"))
-    sets = rows.groupBy("node").agg(first.alias("least"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
-    sets = materialize(sets.select("node", "least.doc_id", "least.key", "size", "prefix"), "dedup-sets")
-    held = Window.partitionBy("shingle")
+    sets = rows.groupBy("node").agg(first.alias("least"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
+    sets = materialize(sets.select("node", "least.doc_id", "least.key", "fp", "size", "prefix"), "dedup-sets")
+    twice = materialize(rows.groupBy("key", "doc_id").count().where("count > 1").select("key", F.col("doc_id").alias("twice")), "dedup-repeated")
+    drop(rows)
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        """The similar ones of some written pairs, by the texts of one document of each set."""
+        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        asked = materialize(sets.select("node", "key", "doc_id").join(wanted, "node").select("node", "key", F.col("doc_id").alias("id")), "dedup-wanted")
+        found = keyed.select("key", "doc_id", "text").join(_small(asked), "key").where(F.col("id").eqNullSafe(F.col("doc_id"))).select("node", "text")
+        texts = materialize(found.dropDuplicates(["node"]), "dedup-texts")  # rows of one id and text come once
+        out = similar_pairs(pairs, texts, size, similarity)
+        for table in (asked, texts):
+            drop(table)
+        return out
+
+    seen = materialize(fingerprint_pairs(sets.select("node", "fp"), max_bits), "dedup-linked")
+    joined = compared(seen)
     at = sets.select("node", "size", F.posexplode("prefix").alias("pos", "shingle"))
-    at = at.withColumn("head", F.min("node").over(held)).withColumn("last", F.max("node").over(held)).withColumn("head_size", F.min_by("size", "node").over(held))
-    shared = materialize(at.where("head <> last").drop("last"), "dedup-shared")
-    members = sets.join(shared.select("node").distinct(), "node").select("node", "key", F.col("doc_id").alias("id"))
-    members = members.join(keyed.select("key", "doc_id", "text"), "key").where(F.col("id").eqNullSafe(F.col("doc_id"))).select("node", "text")
-    # Rows of one id and text come once.
-    members = materialize(members.dropDuplicates(["node"]), "dedup-members")
-    fits = F.least("size", "head_size") >= similarity * F.greatest("size", "head_size") - 1e-9
-    heads = materialize(shared.where((F.col("node") != F.col("head")) & fits).select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "dedup-heads")
-    joined = similar_pairs(heads, members, size, similarity)
-    groups = materialize(connected_components(joined), "dedup-groups")
-    grouped = shared.select("shingle", "node", "size", "pos").join(groups, "node", "left").withColumn("group", F.coalesce("component", "node"))
-    apart = grouped.withColumn("low", F.min("group").over(held)).withColumn("high", F.max("group").over(held)).where("low <> high")
-    apart = materialize(apart.select("shingle", "node", "size", "pos", "group"), "dedup-apart")
-    other = apart.select("shingle", *[F.col(c).alias(f"{c}2") for c in ("node", "size", "pos", "group")])
+    shared = _where_groups_meet(at)
+    for turn in range(HEAD_ROUNDS + 1):
+        before, groups = shared, materialize(connected_components(joined), "dedup-groups")
+        shared = _where_groups_meet(before.drop("group"), groups)
+        for table in (before, groups):
+            drop(table)
+        if turn == HEAD_ROUNDS:
+            break
+        heads = materialize(_heads(shared, similarity).join(seen, ["a", "b"], "left_anti"), "dedup-heads")
+        if not heads.take(1):
+            break
+        seen, joined = seen.union(heads), joined.union(compared(heads))
+    other = shared.select("shingle", *[F.col(c).alias(f"{c}2") for c in ("node", "size", "pos", "group")])
     # From the first shingle that two sets share on, they have enough left to share.
     enough = F.least(F.col("size") - F.col("pos"), F.col("size2") - F.col("pos2")) >= similarity / (1 + similarity) * (F.col("size") + F.col("size2")) - 1e-6
-    met = apart.join(other, "shingle").where((F.col("node") < F.col("node2")) & (F.col("group") != F.col("group2")) & enough)
-    pairs = met.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct().join(heads, ["a", "b"], "left_anti")
-    joined = joined.union(similar_pairs(materialize(pairs, "dedup-pairs"), members, size, similarity))
+    met = shared.join(other, "shingle").where((F.col("node") < F.col("node2")) & (F.col("group") != F.col("group2")) & enough)
+    pairs = met.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct().join(seen, ["a", "b"], "left_anti")
+    joined = joined.union(compared(materialize(pairs, "dedup-pairs")))
     leads = connected_components(joined)
     named = sets.select("node", "key", "doc_id").join(leads, "node", "left").withColumn("component", F.coalesce("component", "node"))
     kept = materialize(named.groupBy("component").agg(first.alias("kept")).select(F.col("kept.key").alias("key"), F.col("kept.doc_id").alias("id")), "dedup-kept")
+    for table in (sets, shared):
+        drop(table)
     out = keyed.select("key", "doc_id", "row").join(kept, "key").where(F.col("doc_id").eqNullSafe(F.col("id")))
-    repeated = rows.groupBy("key", "doc_id").count().where("count > 1").select("key", F.col("doc_id").alias("twice"))
+    repeated = materialize(twice.join(kept, "key").where(F.col("twice").eqNullSafe(F.col("id"))).select("key", F.lit(True).alias("again")), "dedup-again")
     if repeated.take(1):
-        marked = out.join(materialize(repeated.join(kept, "key").where(F.col("twice").eqNullSafe(F.col("id"))).select("key", F.lit(True).alias("again")), "dedup-repeated"), "key", "left")
+        marked = out.join(repeated, "key", "left")
         out = marked.where("again is null").select("key", "row").unionByName(marked.where("again").dropDuplicates(["key"]).select("key", "row"))
     return out.select([F.col(f"row.`{c}`") for c in columns])

@@ -24,9 +24,23 @@ _KEY = (
     "CASE WHEN instr({0}, '://') > 0 THEN " + _HOST + " || CASE WHEN " + _PATH + " = '' THEN '/' ELSE " + _PATH + " END"
     r" || coalesce(regexp_extract({0}, '(?s)^[^#?]*(\?[^#]*)?', 1), '') END"
 )
+_LINK = "replace(link, '&amp;', '&')"
+_HERE = "'http://' || " + _HOST.format("url")
+_OWN_PATH = "CASE WHEN " + _PATH.format("url") + " = '' THEN '/' ELSE " + _PATH.format("url") + " END"
+
+
+def _resolved(path: str) -> str:
+    """A path without dot segments, as the query has it."""
+    only = f"regexp_extract({path}, '(?s)^([^?#]*)', 1)"
+    steps = f"list_prepend('', string_split({only}, '/')[2:])"
+    fold = f"list_reduce({steps}, lambda a, x: CASE WHEN x = '..' THEN regexp_replace(a, '/[^/]*$', '') WHEN x = '.' THEN a ELSE a || '/' || x END)"
+    return f"({fold} || CASE WHEN string_split({only}, '/')[-1] IN ('.', '..') THEN '/' ELSE '' END || regexp_extract({path}, '(?s)^[^?#]*(.*)$', 1))"
+
+
 _ABSOLUTE = (
-    "CASE WHEN instr(link, '://') > 0 THEN link WHEN link LIKE '//%' THEN 'http:' || link WHEN link LIKE '/%' THEN 'http://' || "
-    + _HOST.format("url") + " || link ELSE 'http://' || " + _HOST.format("url") + " || regexp_replace(" + _PATH.format("url") + ", '[^/]*$', '') || link END"
+    f"CASE WHEN instr({_LINK}, '://') > 0 THEN {_LINK} WHEN {_LINK} LIKE '//%' THEN 'http:' || {_LINK} WHEN {_LINK} LIKE '/%' THEN {_HERE} || " + _resolved(_LINK)
+    + f" WHEN {_LINK} LIKE '?%' THEN {_HERE} || {_OWN_PATH} || {_LINK} WHEN {_LINK} LIKE '#%' THEN url ELSE {_HERE} || "
+    + _resolved(f"(regexp_replace({_OWN_PATH}, '[^/]*$', '') || {_LINK})") + " END"
 )
 OP6 = (
     r"""

@@ -2,19 +2,19 @@
 
 A unigram tokenizer cuts a pre-token (a word, with a mark for the space before it) into the pieces whose
 scores add up highest. The best score of a prefix depends on that prefix alone, so distinct pre-tokens
-are inserted in a trie and each node's forward score is computed once, however many pre-tokens share
-it; the count of pieces is stored where a pre-token ends. The trie is walked as its depth-first order,
-the sorted list of a batch's new pre-tokens: the path to the node is kept, and what a pre-token shares
-with the one before it stays. Ends are remembered across batches, MEMORY of them at most, so a worker's
-memory is bounded and every text is counted whole.
+are inserted in a trie whose nodes hold the forward score and the pieces of their prefix: each is
+computed once, however many pre-tokens share it, and stays for later batches. Where a pre-token ends,
+the count of its pieces is stored. A worker keeps NODES nodes and MEMORY ends at most and then starts
+anew, so its memory is bounded and every text is counted whole.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
-import os
 import sys
 import types
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,7 @@ from ledgerline.llm.common import releasing, small_batches
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-MEMORY = 1_000_000
+MEMORY, NODES = 400_000, 600_000
 #: What a character of no piece costs besides the least score of all pieces.
 UNKNOWN = 10.0
 
@@ -42,7 +42,7 @@ def pieces_of(model: str) -> dict[str, float]:
 
 
 class Trie:
-    """Best scores and counts of the prefixes on the path to the last pre-token, and remembered ends."""
+    """Nodes of pre-tokens' prefixes, with their best scores and counts, and the counts of whole pre-tokens."""
 
     def __init__(self, pieces: dict[str, float]):
         self.pieces, self.ends = pieces, {}
@@ -50,48 +50,48 @@ class Trie:
         for p in pieces:
             self.longest[p[-1]] = max(self.longest.get(p[-1], 0), len(p))
         self.unknown = min(pieces.values(), default=0.0) - UNKNOWN
-
-    def insert(self, words: list[str]) -> None:
-        """Count the pieces of each word and remember it. A character of no piece counts its UTF-8 bytes."""
-        if len(self.ends) + len(words) > MEMORY:
-            self.ends.clear()
-        score, count, before = [0.0], [0], ""
-        pieces, longest = self.pieces, self.longest
-        for word in sorted(words):
-            text = SPACE + word
-            shared = len(os.path.commonprefix((before, text)))
-            del score[shared + 1 :], count[shared + 1 :]
-            for end in range(shared + 1, len(text) + 1):
-                c = text[end - 1]
+        self.clear()
+
+    def clear(self) -> None:
+        """The root alone: child nodes by (node, character), and each node's score and count."""
+        self.child, self.score, self.count = {}, array("d", [0.0]), array("q", [0])
+        self.ends.clear()
+
+    def insert(self, word: str) -> int:
+        """Walk a word's path, adding what is missing, and store its count of pieces. A character of no piece counts its UTF-8 bytes."""
+        text, node, path = SPACE + word, 0, [0]
+        pieces, longest, child, score, count = self.pieces, self.longest, self.child, self.score, self.count
+        for end, c in enumerate(text, 1):
+            below = child.get((node, c))
+            if below is None:
                 best, n = -math.inf, 0
                 for start in range(max(0, end - longest.get(c, 0)), end):
                     p = pieces.get(text[start:end])
-                    if p is not None and (x := score[start] + p) >= best and (x > best or count[start] + 1 < n):
-                        best, n = x, count[start] + 1
-                if c not in pieces and (x := score[end - 1] + self.unknown) > best:
-                    best, n = x, count[end - 1] + len(c.encode("utf-8", "surrogatepass"))
+                    if p is not None:
+                        at = path[start]
+                        x = score[at] + p
+                        if x >= best and (x > best or count[at] + 1 < n):
+                            best, n = x, count[at] + 1
+                if c not in pieces and (x := score[node] + self.unknown) > best:
+                    best, n = x, count[node] + len(c.encode("utf-8", "surrogatepass"))
+                below = child[node, c] = len(score)
                 score.append(best)
                 count.append(n)
-            self.ends[word] = count[-1]
-            before = text
+            path.append(below)
+            node = below
+        self.ends[word] = count[node]
+        return count[node]
 
     def counts(self, words: list[str]) -> np.ndarray:
-        ends = self.ends
-        new = [w for w in words if w not in ends]
-        if len(ends) + len(new) > MEMORY:
-            new = words
-        for at in range(0, len(new), 200_000):
-            some = new[at : at + 200_000]
-            if len(new) > MEMORY:  # more than fit: count them a part at a time
-                break
-            self.insert(some)
-        else:
-            return np.fromiter(map(ends.__getitem__, words), np.int64, len(words))
-        found = []
-        for at in range(0, len(words), 200_000):
-            self.insert(words[at : at + 200_000])
-            found += map(ends.__getitem__, words[at : at + 200_000])
-        return np.array(found, np.int64)
+        out = np.empty(len(words), np.int64)
+        for i, word in enumerate(words):
+            n = self.ends.get(word)
+            if n is None:
+                if len(self.score) > NODES or len(self.ends) >= MEMORY:
+                    self.clear()
+                n = self.insert(word)
+            out[i] = n
+        return out
 
 
 #: Bytes of text counted at once, about.
@@ -99,11 +99,14 @@ TEXT_BYTES = 8_000_000
 
 
 def _counter(pieces: dict[str, float]):
+    name = "trie " + hashlib.sha256(repr(sorted(pieces.items())).encode("utf-8", "surrogatepass")).hexdigest()
+
     def run(batches):
+        # A worker process keeps the trie of the last vocabulary.
         kept = sys.modules.setdefault("_ledgerline_worker", types.ModuleType("_ledgerline_worker")).__dict__
-        name = f"trie {len(pieces)} {hash(tuple(list(pieces.items())[:50]))}"
-        trie = kept.setdefault(name, None) or Trie(pieces)
-        kept[name] = trie
+        if kept.get("trie", (None,))[0] != name:
+            kept["trie"] = name, Trie(pieces)
+        trie = kept["trie"][1]
         for batch in batches:
             step = max(1, int(batch.num_rows * TEXT_BYTES / max(1, batch.nbytes)))
             for at in range(0, batch.num_rows, step):
@@ -125,8 +128,9 @@ def _counter(pieces: dict[str, float]):
 def count_tokens(docs: DataFrame, pieces: dict[str, float] | None = None) -> DataFrame:
     """One row per document: ``doc_id, n_words, n_tokens``.
 
-    Words stand between ASCII white space. pieces: a vocabulary with log scores (default: those of
-    pieces_of() for the 32k SentencePiece file). Null, empty and blank texts have no tokens. Of equally
+    Words stand between ASCII white space. pieces: a vocabulary with log scores; n_tokens counts the
+    pieces of the best cut by these scores. The default is pieces_of() for the 32k SentencePiece file, whose
+    scores stand in for missing probabilities: n_tokens is then not what that file's own BPE gives. Null, empty and blank texts have no tokens. Of equally
     good cuts the one with fewer pieces counts. Repeated rows each keep a row; other columns are not
     looked at.
     """

@@ -14,6 +14,8 @@ from ledgerline.llm.common import LOWER, UPPER, connected_components
 
 #: (action, host, path): the default rules.
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+#: Hosts with rules up to which these are broadcast; tasks that a frequent host suffix is dealt to beyond that.
+MAX_BROADCAST, SALTS = 200_000, 64
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)(.*)$"
 CANONICAL = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
 REFRESH = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
@@ -35,14 +37,30 @@ def key_of(url: Column) -> Column:
     return F.when(F.instr(url, "://") > 0, F.concat(host_of(url), F.when(path_of(url) == "", "/").otherwise(path_of(url)), query))
 
 
+def _resolved(path: Column) -> Column:
+    """A path without ``.`` and ``..`` segments. What follows ``?`` or ``#`` stays as it is."""
+    only, rest = F.regexp_extract(path, r"(?s)^([^?#]*)", 1), F.regexp_extract(path, r"(?s)^[^?#]*(.*)$", 1)
+    parts = F.split(only, "/")
+    last = F.element_at(parts, -1)
+    step = lambda done, x: F.when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))).when(x == ".", done).otherwise(F.concat(done, F.array(x)))
+    kept = F.aggregate(F.slice(parts, 2, F.size(parts)), F.array(F.lit("")), step)
+    end = F.when(last.isin(".", ".."), "/").otherwise("")
+    return F.concat(F.array_join(kept, "/"), end, rest)
+
+
 def _absolute(link: Column, url: Column) -> Column:
-    """A link as found on the page of a URL, made absolute."""
+    """A link as found on the page of a URL, made absolute: ``&amp;`` read as ``&``, and paths without dot segments."""
+    link = F.replace(link, F.lit("&amp;"), F.lit("&"))
+    here = F.concat(F.lit("http://"), host_of(url))
+    path = F.when(path_of(url) == "", "/").otherwise(path_of(url))
     return (
         F.when(link == "", None)
         .when(F.instr(link, "://") > 0, link)
         .when(F.startswith(link, F.lit("//")), F.concat(F.lit("http:"), link))
-        .when(F.startswith(link, F.lit("/")), F.concat(F.lit("http://"), host_of(url), link))
-        .otherwise(F.concat(F.lit("http://"), host_of(url), F.regexp_replace(path_of(url), r"[^/]*$", ""), link))
+        .when(F.startswith(link, F.lit("/")), F.concat(here, _resolved(link)))
+        .when(F.startswith(link, F.lit("?")), F.concat(here, path, link))
+        .when(F.startswith(link, F.lit("#")), url)
+        .otherwise(F.concat(here, _resolved(F.concat(F.regexp_replace(path, r"[^/]*$", ""), link))))
     )
 
 
@@ -63,7 +81,9 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame = RULE
     host, then allow). redirects: more edges as ``(src_url, dst_url)``, besides those in the html.
     Pages that no rule fits: block if their component holds a blocked and no allowed URL, else
     ``default``. Null or unparsable URLs have empty host and path, no rule and no aliases. Repeated
-    pages are judged alike, each with a row of its own. Other columns are not looked at.
+    pages are judged alike, each with a row of its own. Other columns are not looked at, whatever their
+    names. A URL that very many pages have is a frequent key of the last joins, which adaptive execution deals
+    to several tasks.
     """
     spark = pages.sparkSession
     if isinstance(rules, list):
@@ -79,12 +99,25 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame = RULE
     places = rows.select("host", "path").union(linked).where("host <> ''").distinct()
     labels = F.split("host", r"\.")
     suffix = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    fits = places.select("host", "path", F.explode(suffix).alias("rule_host")).join(rules, "rule_host").where(F.startswith("path", F.col("rule_path")))
+    # A host's rules are looked up by the lengths that their paths have, so that a host of very many rules
+    # meets each place in a few rows, not in one for each rule.
+    lengths = rules.groupBy("rule_host").agg(F.collect_set(F.length("rule_path")).alias("lengths"))
+    named = places.select("host", "path", F.explode(suffix).alias("rule_host"))
+    if lengths.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
+        sized = named.join(F.broadcast(lengths), "rule_host")
+    else:
+        # A suffix such as com is in very many places: these go to SALTS tasks, and its lengths to each of them.
+        salted = named.withColumn("salt", F.pmod(F.xxhash64("host", "path"), F.lit(SALTS)))
+        sized = salted.join(lengths.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["rule_host", "salt"])
+    sized = sized.select("host", "path", "rule_host", F.explode("lengths").alias("length")).where(F.col("length") <= F.length("path"))
+    fits = sized.select("host", "path", "rule_host", F.substring("path", F.lit(1), F.col("length")).alias("rule_path")).join(rules, ["rule_host", "rule_path"])
     best = F.struct(F.length(F.concat("rule_host", "rule_path")), F.length("rule_host"), F.when(F.col("action") == "allow", 1).otherwise(0))
     ruled = fits.groupBy("host", "path").agg(F.max_by(F.struct("action", F.concat("rule_host", "rule_path").alias("rule")), best).alias("won"))
     ruled = ruled.select("host", "path", F.col("won.action").alias("action"), F.col("won.rule").alias("rule"))
     spots = aliases.select("node", "component", F.regexp_extract("node", r"(?s)^([^/]*)", 1).alias("host"), F.regexp_extract("node", r"(?s)^[^/]*([^?]*)", 1).alias("path"))
     decided = spots.join(ruled, ["host", "path"], "left").groupBy("component").agg(F.max(F.col("action") == "block").alias("blocked"), F.max(F.col("action") == "allow").alias("allowed"))
     by_key = aliases.join(decided, "component").select(F.col("node").alias("key"), F.when(F.col("blocked") & ~F.coalesce(F.col("allowed"), F.lit(False)), "block").alias("inherited"))
-    out = rows.join(ruled, ["host", "path"], "left").join(by_key, "key", "left")
-    return out.select("page_id", "host", "path", "rule", F.coalesce("action", "inherited", F.lit(default)).alias("verdict"))
+    out = rows.where("key is not null").join(ruled, ["host", "path"], "left").join(by_key, "key", "left")
+    out = out.select("page_id", "host", "path", "rule", F.coalesce("action", "inherited", F.lit(default)).alias("verdict"))
+    # What is no URL goes past the joins, where it would all be one key.
+    return out.union(rows.where("key is null").select("page_id", "host", "path", F.lit(None).cast("string"), F.lit(default)))

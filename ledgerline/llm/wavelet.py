@@ -18,7 +18,8 @@ import sys
 import types
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import new_folder, releasing, small_batches
+from ledgerline.llm.common import drop, materialize, new_folder, releasing, small_batches
+from ledgerline.operators.ordering import running
 
 MAGIC = b"LWM1"
 #: Bits whose ones one count covers.
@@ -46,9 +48,9 @@ TOKENIZER, END_ID = "word_bpe_49k.json", 2
 class WaveletMatrix:
     """A sequence of u32 symbols: ``m[i]``, rank, select, count and positions from bit planes."""
 
-    def __init__(self, alphabet: np.ndarray, planes: list[np.ndarray], ranks: list[np.ndarray], n: int):
+    def __init__(self, alphabet: np.ndarray, planes: Sequence[np.ndarray], ranks: Sequence[np.ndarray], n: int, zeros: list[int] | None = None):
         self.alphabet, self.planes, self.ranks, self.n = alphabet, planes, ranks, n
-        self.zeros = [n - int(self._ones(k, n)) for k in range(len(planes))]
+        self.zeros = zeros if zeros is not None else [n - int(self._ones(k, n)) for k in range(len(planes))]
 
     @classmethod
     def of(cls, ids: np.ndarray) -> WaveletMatrix:
@@ -162,12 +164,31 @@ def to_bytes(ids: np.ndarray, doc_ids: list, ends: np.ndarray) -> bytes:
         places[name] = [at, len(data)]
         body.append(data)
         at += len(data)
-    header = json.dumps({"n": len(ids), "docs": len(doc_ids), "depth": len(matrix.planes), "rank_block": RANK_BLOCK, "parts": places}).encode()
+    header = json.dumps({"n": len(ids), "docs": len(doc_ids), "depth": len(matrix.planes), "zeros": matrix.zeros, "rank_block": RANK_BLOCK, "parts": places}).encode()
     return b"".join([MAGIC, len(header).to_bytes(4, "little"), header, *body])
 
 
+class _Parts(Sequence):
+    """Arrays that are decompressed when first asked for: a lookup that ends early leaves the deeper planes packed."""
+
+    def __init__(self, names: list[str], load):
+        self.names, self.load, self.held = names, load, {}
+
+    def __len__(self) -> int:
+        return len(self.names)
+
+    def __getitem__(self, k: int) -> np.ndarray:
+        k = range(len(self.names))[k]
+        if k not in self.held:
+            self.held[k] = self.load(self.names[k])
+        return self.held[k]
+
+
 class Shard:
-    """A shard's file: its documents, and its ids as a WaveletMatrix."""
+    """A shard's file: its documents, and its ids as a WaveletMatrix.
+
+    Planes and ranks are decompressed as they are needed: for a token that the shard lacks, none is.
+    """
 
     def __init__(self, data: bytes):
         if data[:4] != MAGIC:
@@ -179,14 +200,20 @@ class Shard:
             at, n = head["parts"][name]
             return np.frombuffer(zstandard.decompress(data[base + at : base + at + n]), kind)
 
-        nulls = part("nulls", "u1") if head["docs"] else []
-        self.doc_ids = [None if null else int(i) for i, null in zip(part("doc_ids", "<i8") if head["docs"] else [], nulls, strict=True)]
-        self.ends = part("ends", "<i8") if head["docs"] else np.zeros(0, "<i8")
-        empty = not head["n"]
-        self.ids = WaveletMatrix(
-            np.zeros(0, "<u4") if empty else part("alphabet", "<u4"), [np.zeros(0, "u1") if empty else part(f"plane{k}", "u1") for k in range(head["depth"])],
-            [part(f"ranks{k}", "<u8") for k in range(head["depth"])], head["n"],
-        )
+        self.n_docs, self._part = head["docs"], part
+        empty, levels = not head["n"], range(head["depth"])
+        planes = _Parts([f"plane{k}" for k in levels], (lambda _: np.zeros(0, "u1")) if empty else lambda name: part(name, "u1"))
+        self.ids = WaveletMatrix(np.zeros(0, "<u4") if empty else part("alphabet", "<u4"), planes, _Parts([f"ranks{k}" for k in levels], lambda name: part(name, "<u8")), head["n"], head["zeros"])
+
+    @cached_property
+    def doc_ids(self) -> list[int | None]:
+        if not self.n_docs:
+            return []
+        return [None if null else int(i) for i, null in zip(self._part("doc_ids", "<i8"), self._part("nulls", "u1"), strict=True)]
+
+    @cached_property
+    def ends(self) -> np.ndarray:
+        return self._part("ends", "<i8") if self.n_docs else np.zeros(0, "<i8")
 
 
 #: Characters that the tokenizer file splits from letters before them; the apostrophe, which may start a suffix, is not one.
@@ -280,11 +307,11 @@ def _write_file(path: str, data: bytes) -> None:
     system.move(part, place)
 
 
-def _writer(folder: str, tokenizer: bytes, end_id: int, encoder=Encoder):
+def _writer(folder: str, tokenizer: bytes, end_id: int, shard_tokens: int):
     """Encode a partition's documents (in order) and write its shard files; a row for each file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq, encode = TaskContext.get().partitionId(), 0, encoder(tokenizer).encode
+        part, seq, encode = TaskContext.get().partitionId(), 0, Encoder(tokenizer).encode
         ids, doc_ids, size = [], [], 0
 
         def close():
@@ -292,7 +319,7 @@ def _writer(folder: str, tokenizer: bytes, end_id: int, encoder=Encoder):
             name = f"shard-{part:06d}-{seq:04d}.lwm"
             ends = np.cumsum([len(x) for x in ids])
             _write_file(f"{folder}/{name}", to_bytes(np.concatenate(ids), doc_ids, ends))
-            row = pa.record_batch({"name": [name], "docs": pa.array([len(ids)], pa.int64()), "tokens": pa.array([size], pa.int64())})
+            row = pa.record_batch({"name": [name], "part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "docs": pa.array([len(ids)], pa.int64()), "tokens": pa.array([size], pa.int64())})
             ids, doc_ids, size, seq = [], [], 0, seq + 1
             return row
 
@@ -302,7 +329,7 @@ def _writer(folder: str, tokenizer: bytes, end_id: int, encoder=Encoder):
             for at in range(0, batch.num_rows, step):
                 some = batch.slice(at, step)
                 for doc_id, x in zip(some.column(0).to_pylist(), encode(some.column(1)), strict=True):
-                    if size and size + len(x) + 1 > SHARD_TOKENS:
+                    if size and size + len(x) + 1 > shard_tokens:
                         yield close()
                     ids += [np.concatenate((x, end))]
                     doc_ids.append(doc_id)
@@ -313,13 +340,14 @@ def _writer(folder: str, tokenizer: bytes, end_id: int, encoder=Encoder):
     return run
 
 
-def write_tokens(docs: DataFrame, folder: str | None = None, tokenizer: str | None = None, end_id: int = END_ID) -> tuple[str, DataFrame]:
+def write_tokens(docs: DataFrame, folder: str | None = None, tokenizer: str | None = None, end_id: int = END_ID, shard_tokens: int | None = None) -> tuple[str, DataFrame]:
     """Encode whole texts and write shard files in ascending doc_id order; the folder and its index.
 
     The index has a row for each file: ``name, docs, tokens, base``, base being the tokens in all files
     before it. Null ids come first; rows of one id follow each other, ordered by text. A null text is
     empty: its end id alone. folder must be one that all executors can write (default: in the shared
-    folder). An empty table writes no file. Other columns are not written.
+    folder). shard_tokens: tokens of a file, but that a longer document is one file. An empty table writes no
+    file. Other columns are not written. The index is a table in the shared folder.
     """
     import public_tokenizers
 
@@ -332,11 +360,12 @@ def write_tokens(docs: DataFrame, folder: str | None = None, tokenizer: str | No
     n = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # The hash spreads rows of one id, should a third of them share it.
     ordered = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
-    written = ordered.mapInArrow(releasing(_writer(folder, model, end_id)), "name string, docs long, tokens long")
-    files = sorted(written.collect())  # a row for each SHARD_TOKENS tokens
-    bases = np.cumsum([0] + [f.tokens for f in files])
-    index = [(f.name, f.docs, f.tokens, int(b)) for f, b in zip(files, bases, strict=False)]
-    return folder, spark.createDataFrame(index, "name string, docs long, tokens long, base long")
+    writer = _writer(folder, model, end_id, shard_tokens or SHARD_TOKENS)
+    files = materialize(ordered.mapInArrow(releasing(writer), "name string, part int, seq int, docs long, tokens long"), "token-files")
+    index = running(files, ["part", "seq"], ["tokens"], suffix="_before").select("name", "docs", "tokens", F.col("tokens_before").alias("base"))
+    index = materialize(index, "token-index")
+    drop(files)
+    return folder, index
 
 
 def _open(spark: SparkSession, folder: str, index: DataFrame) -> DataFrame:

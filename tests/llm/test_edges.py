@@ -88,3 +88,38 @@ def test_chats_of_any_kind(spark):
         (1, 2, 2, "<|user|>\na\n<|bot|>\nb\n"), (4, 1, 1, "<|user|>\n\n"), (5, 1, 1, "<|user|>\n\n"), (None, 1, 1, "<|user|>\nn\n"), (6, 1, 1, "<||>\n\n"), (7, 2, 1, "<|user|>\na\n<|user|>\na\n"),
     }
     assert chat.format_chats(c.limit(0)).collect() == []
+    assert {(r.conv_id, r.n_turns, r.n_copies) for r in chat.maximal(c).collect()} == {g[:3] for g in got}
+
+
+def test_chat_turns_that_differ_in_text_alone(spark):
+    """Turns of one number and role stand in order of their texts, so the shorter conversation is a prefix of the longer one if its turn comes first."""
+    for one, two in (("a", "b"), ("b", "a"), ("x", "xx"), ("B", "a")):
+        c = spark.createDataFrame([(1, 0, "user", one), (2, 0, "user", one), (2, 0, "user", two)], "conv_id long, turn long, role string, text string")
+        assert {r.conv_id for r in chat.format_chats(c).collect()} == ({2} if one < two else {1, 2})
+
+
+def test_a_chat_of_very_many_turns_and_clashing_columns(spark):
+    turns = spark.range(30_000).selectExpr("1L as conv_id", "id as turn", "'user' as role", "'t' as text", "0 as k", "'x' as n", "1.5 as h0", "'y' as length", "7L as id")
+    some = turns.where("turn < 29000").withColumn("conv_id", turns["conv_id"] + 1)
+    rows = chat.format_chats(turns.union(some)).collect()
+    assert [(r.conv_id, r.n_turns, len(r.text)) for r in rows] == [(1, 30_000, 30_000 * len("<|user|>\nt\n"))]
+
+
+def test_url_pages_with_clashing_columns_and_long_urls(spark):
+    long_ = "http://a.net/fr/" + "x" * 100_000
+    pages = spark.createDataFrame([(1, long_, None, "h", "r", "k"), (2, None, None, "h", "r", "k")], "page_id long, url string, html string, host string, rule string, key string")
+    assert {(r.page_id, r.host, len(r.path), r.verdict) for r in urls.judge(pages).collect()} == {(1, "a.net", 100_004, "block"), (2, "", 0, "allow")}
+    many = spark.createDataFrame([("block", "net", f"/{i}") for i in range(300)] + [("allow", "a.net", "/17/")], "action string, host string, path string")
+    asked = spark.createDataFrame([(i, f"http://a.net/{i}/p", None) for i in range(30)], "page_id long, url string, html string")
+    got = {r.page_id: r.rule for r in urls.judge(asked, many).collect()}
+    assert got == {i: "a.net/17/" if i == 17 else f"net/{i}" for i in range(30)}
+
+
+def test_links_of_many_kinds(spark):
+    from pyspark.sql import functions as F
+
+    rows = [("/a/../b/./c", "/b/c"), ("../x", "/d/x"), ("y?p=/../q", "/d/e/y"), ("?q=1&amp;r=2", "/d/e/f"), ("..", "/d/"), ("/..", "/"), ("./", "/d/e/"), ("#top", "/d/e/f")]
+    df = spark.createDataFrame([(k,) for k, _ in rows], "link string")
+    made = df.select(urls._absolute(F.col("link"), F.lit("https://Site.org/d/e/f?z")).alias("to"), "link").select("link", urls.path_of(F.col("to")).alias("path"), urls.key_of(F.col("to")).alias("key")).collect()
+    assert [(r.link, r.path) for r in made] == rows
+    assert [r.key for r in made if r.link.startswith("?")] == ["site.org/d/e/f?q=1&r=2"]

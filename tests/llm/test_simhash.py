@@ -70,22 +70,22 @@ def test_links_against_all_pairs(spark, monkeypatch, max_bits, hot):
 
 
 @pytest.mark.parametrize("hot", [50_000, 3])
-def test_banded_links_across_batches(spark, monkeypatch, hot):
+def test_links_across_batches(spark, monkeypatch, hot):
     monkeypatch.setattr(S, "HOT", hot)
     rng = random.Random(8)
     high = [rng.getrandbits(32) << 32 for _ in range(4)]
-    rows = sorted({(int(np.uint64(h | 1 << rng.randrange(32) | 1 << rng.randrange(32)).astype(np.int64)), rng.randrange(3)) for h in high for _ in range(30)})
-    df = spark.createDataFrame(rows, "fp long, band int")
-    # One group of threshold 0 in which many fingerprints are equal, and one that is not probed.
-    monkeypatch.setattr(S, "make_plan", lambda *a: ([list(range(32)), list(range(32, 64))], [0, -1], 30))
+    fps = sorted({int(np.uint64(h | 1 << rng.randrange(32) | 1 << rng.randrange(32)).astype(np.int64)) for h in high for _ in range(30)})
+    df = spark.createDataFrame([(f,) for f in fps], "fp long")
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
-        got = {tuple(sorted((r.src, r.dst))) for r in S.near_links(df, 4, banded=True, pairs=True).collect()}
+        # One group of a threshold in which many fingerprints are equal, and one that is not probed.
+        for threshold in (0, 1):
+            monkeypatch.setattr(S, "make_plan", lambda *a, t=threshold: ([list(range(32)), list(range(32, 64))], [t, -1], 30))
+            got = {tuple(sorted((r.src, r.dst))) for r in S.near_links(df, 4, pairs=True).collect()}
+            assert got == {tuple(sorted((a, b))) for a in fps for b in fps if a != b and a >> 32 == b >> 32 and bin((a ^ b) & (1 << 64) - 1).count("1") <= 4}
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
-    want = {tuple(sorted((a, b))) for a, i in rows for b, j in rows if a != b and abs(i - j) <= 1 and a >> 32 == b >> 32 and bin((a ^ b) & (1 << 64) - 1).count("1") <= 4}
-    assert got == want
 
 
 def test_components_against_all_pairs(spark):
@@ -117,8 +117,8 @@ def jaccard_groups(texts, size=5, least=0.8):
     return {find(i) for i in range(len(texts))}
 
 
-@pytest.mark.parametrize("block", [4000, 6])
-def test_one_of_each_against_all_pairs(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "bits"), [(4000, 6), (6, 6), (4000, 0)])
+def test_one_of_each_against_all_pairs(spark, monkeypatch, block, bits):
     monkeypatch.setattr(S, "BLOCK_TEXTS", block)
     rng = random.Random(9)
     base = [[f"w{rng.randrange(500)}" for _ in range(rng.randrange(60, 300))] for _ in range(12)]
@@ -126,7 +126,7 @@ def test_one_of_each_against_all_pairs(spark, monkeypatch, block):
     texts += [" ".join(w if rng.random() > rate else "zz" for w in b) for b in base for rate in (0.005, 0.01, 0.1)]
     texts += [" ".join([*base[0][:k], "q", *base[0][k:]]) for k in range(0, 60, 3)]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    got = {r.doc_id for r in S.one_of_each(docs).collect()}
+    got = {r.doc_id for r in S.one_of_each(docs, max_bits=bits).collect()}
     assert got == jaccard_groups(texts)
 
 

@@ -102,8 +102,11 @@ def test_mixing_reaches_targets_and_is_nested(spark):
     assert mixing.mix(docs).count() == sum(r.taken // r.size for r in got)
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
-def test_language_model(spark, order):
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_language_model(spark, order, monkeypatch):
+    # Small blocks, parts and lanes, so that n-grams are asked for across blocks and documents are read in several lanes.
+    for name, n in (("BLOCK_TOKENS", 900), ("PART_TOKENS", 700), ("SUMMED", 150), ("LANE", 9)):
+        monkeypatch.setattr(lm, name, n)
     rng, mu = random.Random(6), 7.0
     texts = [*sample(rng, 70), None, "", "UNSEEN Unseen"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -196,12 +199,28 @@ def test_token_counts(spark):
         assert (r.n_words, r.n_tokens) == (len(own), sum(len(model.encode("▁" + w).ids) for w in own))
 
 
+def test_vocabularies_of_one_size_in_one_worker(spark):
+    base = {f"p{i}": -5.0 for i in range(60)} | {"▁": -1.0, "a": -2.0, "b": -2.0}
+    docs = spark.createDataFrame([(1, "ab")], "doc_id long, text string").coalesce(1)
+    one, two = base | {"ab": -2.5}, base | {"zz": -2.5}
+    assert [token_count.count_tokens(docs, v).first().n_tokens for v in (one, two, one)] == [2, 3, 2]
+
+
+def test_prefixes_are_scored_once():
+    trie = token_count.Trie({"▁": -1.0, "a": -1.0, "b": -1.0})
+    trie.counts(["aaab", "aaaa"])
+    assert len(trie.score) == 1 + len("▁aaa") + 2
+    trie.counts(["aaabb"])
+    assert len(trie.score) == 1 + len("▁aaa") + 2 + 1
+
+
 def test_a_full_memory_changes_nothing(monkeypatch):
     rng = random.Random(11)
     words = sorted({"".join(rng.choice("abc") for _ in range(6)) for _ in range(300)})
     pieces = {"a": -1.0, "b": -1.5, "c": -2.0, "ab": -1.2, "cab": -2.2, "▁": -1.0, "▁a": -1.1}
     want = token_count.Trie(pieces).counts(words).tolist()
     monkeypatch.setattr(token_count, "MEMORY", 50)
+    monkeypatch.setattr(token_count, "NODES", 40)
     trie = token_count.Trie(pieces)
     assert trie.counts(words).tolist() == want and trie.counts(words[:20]).tolist() == want[:20]
 
@@ -215,7 +234,7 @@ def test_matroska_round_trips():
                 data = matroska.write(payload, frame, 1 if lacing == 0 else laced, blocks, lacing)
                 media = matroska.parse(data)
                 assert matroska.payload_of(data, media) == payload
-                assert all(b.timestamp == a.timestamp + a.size for a, b in zip(media.packets, media.packets[1:], strict=False))
+                assert all(b.timestamp == a.timestamp + 125_000 * a.size for a, b in zip(media.packets, media.packets[1:], strict=False))
                 # A cue points at its cluster's first byte in the segment's data.
                 start = next(a for k, a, _ in matroska.elements(data, 0, len(data)) if k == matroska.SEGMENT)
                 assert all(matroska.read_id(data, start + c.cluster)[0] == matroska.CLUSTER for c in media.cues)
@@ -227,14 +246,53 @@ def test_matroska_unknown_sizes_groups_and_damage():
     tracks = e(matroska.TRACKS, e(matroska.TRACK_ENTRY, u(matroska.TRACK_NUMBER, 1), e(matroska.CODEC_ID, b"V_TEST")))
     unknown = lambda k, *parts: matroska._id(k) + b"\x01" + b"\xff" * 7 + b"".join(parts)
     block = lambda step, body: b"\x81" + step.to_bytes(2, "big", signed=True) + b"\x00" + body
-    c1 = unknown(matroska.CLUSTER, u(matroska.CLUSTER_TIMESTAMP, 100), e(matroska.BLOCK_GROUP, e(matroska.BLOCK, block(-5, b"abc"))))
+    c1 = unknown(matroska.CLUSTER, u(matroska.CLUSTER_TIMESTAMP, 100), e(matroska.BLOCK_GROUP, e(matroska.BLOCK, block(-5, b"abc")), u(matroska.REFERENCE_BLOCK, 1)))
     c2 = e(matroska.CLUSTER, u(matroska.CLUSTER_TIMESTAMP, 200), e(matroska.VOID, b"--"), e(matroska.SIMPLE_BLOCK, block(7, b"de")))
     data = head + unknown(matroska.SEGMENT, tracks, c1, c2)
     media = matroska.parse(data)
-    assert [(p.timestamp, p.cluster, data[p.offset : p.offset + p.size]) for p in media.packets] == [(95, 0, b"abc"), (207, 1, b"de")]
+    assert [(p.timestamp, p.cluster, p.keyframe, data[p.offset : p.offset + p.size]) for p in media.packets] == [(95_000_000, 0, False, b"abc"), (207_000_000, 1, False, b"de")]
+    laced = lambda number, body: e(matroska.BLOCK_GROUP, e(matroska.BLOCK, number + b"\0\0" + b"\x04" + body), u(matroska.BLOCK_DURATION, 12))
+    more = e(matroska.TRACKS, e(matroska.TRACK_ENTRY, u(matroska.TRACK_NUMBER, 300), u(matroska.DEFAULT_DURATION, 40_000_000)))
+    c3 = e(matroska.CLUSTER, u(matroska.CLUSTER_TIMESTAMP, 1), laced(b"\x41\x2c", b"\x02abcdef"), laced(b"\x81", b"\x02abcdef"))
+    timed = matroska.parse(head + e(matroska.SEGMENT, tracks, more, c3)).packets
+    # Default duration where the track has one, else the block's duration in equal shares.
+    assert [(p.track, p.timestamp / 1e6, p.size) for p in timed] == [(300, 1, 2), (300, 41, 2), (300, 81, 2), (1, 1, 2), (1, 5, 2), (1, 9, 2)]
     for bad in (b"", b"text", data[:-1], head + b"\x00"):
         with pytest.raises(ValueError):
             matroska.parse(bad)
+    cut = matroska.read(data[:-1])
+    assert cut.error and [p.timestamp for p in cut.packets] == [95_000_000]
+
+
+def test_reading_from_a_time_by_cues():
+    payload = bytes(range(256)) * 1000
+    data = matroska.write(payload)
+    whole = matroska.parse(data)
+    at = whole.cues[3].time
+    later = matroska.read(data, since=at)
+    assert later.packets == [p for p in whole.packets if p.timestamp >= at]
+
+
+def test_media_columns_against_plain_python(spark):
+    rng = random.Random(21)
+    texts = ["", None, "a", "é" * 31 + "xx", "x" * 64, "word " * 9000, *sample(rng, 20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    stored = {r.doc_id: bytes(r.media) for r in matroska.encode_texts(docs).collect()}
+    for r in matroska.store_and_digest(docs).collect():
+        raw = (texts[r.doc_id] or "").encode()
+        payload = raw + b"\0" * (max(64, -(-len(raw) // 64) * 64) - len(raw))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert (r.media_bytes, r.media_sha256) == (len(stored[r.doc_id]), hashlib.sha256(stored[r.doc_id]).hexdigest())
+
+
+def test_damaged_files_give_an_error_row(spark):
+    good = matroska.write(b"x" * 30_000)
+    rows = [(1, good), (2, good[:-200]), (3, b"no media"), (4, None), (5, b"")]
+    got = matroska.packet_table(spark.createDataFrame(rows, "doc_id long, media binary")).collect()
+    n = len(matroska.parse(good).packets)
+    assert sum(r.id == 1 and r.error is None for r in got) == n
+    assert {r.id for r in got if r.error} == {2, 3, 5} and not [r for r in got if r.id == 4]
+    assert 0 < sum(r.id == 2 and r.error is None for r in got) <= n
 
 
 def test_packet_table(spark):
@@ -269,6 +327,48 @@ def test_aliases_inherit_blocks(spark):
     assert seen.where("host = 'new.org'").first().verdict == "block"
 
 
+def plainly_scored(row, model):
+    """A document's probabilities from the model's weights, word by word."""
+    _, text, lang, source, n_chars = row
+    words = text.lower().split()
+    times = collections.Counter(f for w in words for f in quality.word_features(w))
+    held = [f for f in times] + [f ^ quality.FREQUENT for f, n in times.items() if n >= 2 and n >= 0.006 * len(words)]
+    raw = text.encode()
+    kind = collections.Counter("digit" if 48 <= b < 58 else "upper" if 65 <= b < 91 else "lower" if 97 <= b < 123 else "space" if b == 32 or 9 <= b < 14 else "high" if b > 127 else "symbol" for b in raw)
+    n, size = max(1, len(words)), max(1, len(raw))
+    again = sum(a == b for a, b in zip(words, words[1:], strict=False))
+    figures = [math.log1p(len(words)), len(set(words)) / n, kind["symbol"] / size, kind["upper"] / size, kind["digit"] / size, text.count("\n") / n, text.count("|") / n, size / n, again / n]
+    held += [quality.figure_id(k, int(np.searchsorted(e, x))) for k, (e, x) in enumerate(zip(model.edges, figures, strict=True))]
+    meta = quality.metadata_features(model.lengths, [source], [lang], [n_chars])[0].tolist()
+    odds = [m.slope * (m.bias + sum(m.weights.get(f, 0.0) for f in fs)) + m.offset for m, fs in ((model.text, held), (model.meta, meta))]
+    t, m = (max(-8, min(8, x)) for x in odds)
+    odds.append(model.mix[0] * t + model.mix[1] * m + model.mix[2] * min(t, m) + model.mix[3])
+    return tuple(1 / (1 + math.exp(-x)) for x in odds)
+
+
+def test_views_teach_each_other(spark):
+    """Junk has its own marks and its own sources: where few labels show one of these, pseudo-labels from the other view do."""
+    rng = random.Random(17)
+    rows, labels = [], []
+    for i in range(3000):
+        junk = rng.random() < 0.3
+        words = [f"word{rng.randrange(200)}" for _ in range(rng.randrange(30, 80))] + ([f"mark{rng.randrange(3)}"] * 3 if junk else [])
+        source = f"bad{rng.randrange(2)}" if junk else f"good{rng.randrange(6)}"
+        rows.append((i, " ".join(words), "en", source, sum(map(len, words))))
+        labels.append((i, int(not junk), 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    model = quality.fit(docs, spark.createDataFrame(labels[:900], "doc_id long, quality int, toxic int"))
+    assert min(model.taught) > 0
+    got = {r.doc_id: r.keep for r in quality.score(docs, model).collect()}
+    assert sum(got[i] == bool(q) for i, q, _ in labels[900:]) >= 0.98 * 2100
+
+
+def test_a_sampled_id_in_very_many_rows(spark):
+    one = spark.range(5000).selectExpr("7L as doc_id", "concat('copy ', id) as text", "'en' as lang", "'s' as source", "5L as n_chars")
+    labels = spark.createDataFrame([(7, 1, 0)], "doc_id long, quality int, toxic int")
+    assert quality.score(one, quality.fit(one, labels)).where("keep").count() == 5000
+
+
 def test_classifier_on_held_out_documents(spark):
     rng = random.Random(13)
     rows, labels = [], []
@@ -284,7 +384,11 @@ def test_classifier_on_held_out_documents(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     known = spark.createDataFrame(labels[:600], "doc_id long, quality int, toxic int")
     model = quality.fit(docs, known)
-    got = {r.doc_id: r.keep for r in quality.score(docs, model).collect()}
+    scored = quality.score(docs, model).collect()
+    got = {r.doc_id: r.keep for r in scored}
+    by_id = {r[0]: r for r in rows}
+    for r in scored[::50]:
+        assert (r.p_text, r.p_metadata, r.p_good) == pytest.approx(plainly_scored(by_id[r.doc_id], model))
     good = {i: q == 1 and not t for i, q, t in labels[600:]}
     assert sum(got[i] != g for i, g in good.items()) <= 0.01 * len(good)
     assert {r.doc_id for r in quality.keep_good(docs, model).collect()} == {i for i, k in got.items() if k}
