@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerline.llm import chat, decontam, lm, matroska, mixing, quality, simhash, token_count, urls, wavelet
 from ledgerline.llm.sql import ORACLES
@@ -53,7 +54,18 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_matroska, op3_chat_format, op4_token_files, op5_decontamination, op6_url_filter, op7_token_counts, op8_quality, op9_mixing, op10_lm_scoring)}
+def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op2's columns that do not depend on the format, for comparison with SQL."""
+    return op2_matroska(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32")
+
+
+def lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op10's columns with rounded scores, for comparison with SQL."""
+    rounded = [F.round(c, 3).alias(c) for c in ("base_score", "score")]
+    return op10_lm_scoring(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", *rounded)
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_matroska, op3_chat_format, op4_token_files, op5_decontamination, op6_url_filter, op7_token_counts, op8_quality, op9_mixing, op10_lm_scoring, media_payloads, lm_scores)}
 
 
 def queries() -> dict:

@@ -93,4 +93,38 @@ g AS (SELECT t, n, min(conv_id) AS conv_id, count(*) AS n_copies, arg_min(text,
 SELECT conv_id, CAST(n AS BIGINT) AS n_turns, n_copies, text FROM g WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.t = g.t)
 """
 
-ORACLES = {"op3_chat_format": OP3, "op5_decontamination": OP5, "op6_url_filter": OP6, "op9_mixing": OP9}
+
+
+def _crc32(list_of_bytes: str) -> str:
+    """CRC-32 of a list of byte values, bit by bit."""
+    step = "CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    byte = f"list_reduce(list_prepend(xor(a, x), range(0, 8)), lambda c, k: {step})"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {list_of_bytes}), lambda a, x: {byte}), 4294967295)"
+
+
+_BYTES = "list_transform(range(0, {n}), lambda i: CAST('0x' || substr({hex}, 2 * i + 1, 2) AS BIGINT))"
+PAYLOADS = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+s AS (SELECT doc_id, h, CAST(length(h) // 2 AS BIGINT) AS n FROM d),
+p AS (SELECT doc_id, n, greatest(64, (n + 63) // 64 * 64) AS size, rpad(h, CAST(2 * greatest(64, (n + 63) // 64 * 64) AS INT), '0') AS h FROM s)
+SELECT doc_id, n AS n_bytes, size AS payload_bytes, sha256(unhex(h)) AS payload_sha256, {_crc32(_BYTES.format(n=64, hex="right(h, 128)"))} AS tail_crc32 FROM p
+"""
+
+#: Counts of one, two and three words in training documents, and weights from the shortest context upwards (mu = 30).
+LM = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w,
+    {_crc32(_BYTES.format(n="length(CAST(doc_id AS VARCHAR))", hex="hex(encode(CAST(doc_id AS VARCHAR)))"))} % 10 = 0 AS held FROM documents),
+t AS (SELECT r, held, unnest(list_concat([chr(10) || 'start'], w, [chr(10) || 'end'])) AS w, unnest(range(0, len(w) + 2)) AS i FROM d),
+g AS (SELECT r, held, i, w, lag(w) OVER o AS w1, lag(w, 2) OVER o AS w2 FROM t WINDOW o AS (PARTITION BY r ORDER BY i)),
+c1 AS (SELECT w, count(*) AS n FROM g WHERE NOT held GROUP BY w),
+c2 AS (SELECT w1, w, count(*) AS n FROM g WHERE NOT held AND w1 IS NOT NULL GROUP BY w1, w),
+c3 AS (SELECT w2, w1, w, count(*) AS n FROM g WHERE NOT held AND w2 IS NOT NULL GROUP BY w2, w1, w),
+k AS (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS nn, count(*) AS v FROM c1 WHERE w <> chr(10) || 'start'),
+p1 AS (SELECT g.*, coalesce(c1.n, 0) AS n1, (coalesce(c1.n, 0) + 0.1::DOUBLE) / (nn + 0.1::DOUBLE * (v + 1)) AS p FROM g LEFT JOIN c1 USING (w), k WHERE i > 0),
+p2 AS (SELECT p1.*, coalesce(c2.n, 0) AS n2, CASE WHEN h.n > 0 THEN (coalesce(c2.n, 0) + 30 * p) / (h.n + 30) ELSE p END AS q FROM p1 LEFT JOIN c1 h ON p1.w1 = h.w LEFT JOIN c2 ON p1.w1 = c2.w1 AND p1.w = c2.w),
+p3 AS (SELECT p2.r, n1, p, CASE WHEN h.n > 0 THEN (coalesce(c3.n, 0) + 30 * q) / (h.n + 30) ELSE q END AS s FROM p2 LEFT JOIN c2 h ON p2.w2 = h.w1 AND p2.w1 = h.w LEFT JOIN c3 ON p2.w2 = c3.w2 AND p2.w1 = c3.w1 AND p2.w = c3.w)
+SELECT doc_id, any_value(held) AS held_out, count(*) AS n_tokens, count(*) FILTER (WHERE n1 > 0) AS n_known, any_value(nn) AS train_tokens, round(sum(log10(p)), 3) AS base_score, round(sum(log10(s)), 3) AS score
+FROM p3 JOIN d USING (r), k GROUP BY r, doc_id
+"""
+
+ORACLES = {"media_payloads": PAYLOADS, "lm_scores": LM, "op3_chat_format": OP3, "op5_decontamination": OP5, "op6_url_filter": OP6, "op9_mixing": OP9}
