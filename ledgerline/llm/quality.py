@@ -34,8 +34,6 @@ FEATURES, LEAST_CHI = 2048, 15.0
 CANDIDATES, CANDIDATE_CHI = 8192, 4.0
 #: Bins of a figure.
 BINS = 16
-#: Words whose features a worker remembers.
-MEMORY = 200_000
 #: Bytes of text taken apart at once, about.
 TEXT_BYTES = 2_000_000
 #: Times, and share of the words, from which a feature counts as frequent; its id is then the feature's with these bits flipped.
@@ -45,10 +43,18 @@ OFTEN, SHARE, FREQUENT = 2, 0.006, 0x5BD1E995
 # --- features ------------------------------------------------------------------------------------------
 
 
-def word_features(word: str) -> tuple[int, ...]:
+def word_names(word: str) -> list[str]:
+    """A word's features by name: itself (w), its last characters (s), and its first 3, 4 and 5, all but for the latter without marks around it."""
     core = word.strip(PUNCTUATION)
-    names = {"w" + core, "s" + word[-3:], *(f"{k}{core[:k]}" for k in (3, 4, 5) if len(core) >= k)}
-    return tuple(zlib.crc32(n.encode("utf-8", "surrogatepass")) for n in sorted(names))
+    return ["w" + core, "s" + word[-3:], *(f"{k}{core[:k]}" for k in (3, 4, 5) if len(core) >= k)]
+
+
+def name_id(name: str) -> int:
+    return zlib.crc32(name.encode("utf-8", "surrogatepass"))
+
+
+def word_features(word: str) -> tuple[int, ...]:
+    return tuple(map(name_id, word_names(word)))
 
 
 def figure_id(figure: int, bin_: int) -> int:
@@ -65,7 +71,7 @@ class Words:
         upto = np.concatenate(([0], np.cumsum(real)))
         self.sizes = np.diff(upto[cut.offsets.to_numpy() - cut.offsets[0].as_py()])
         coded = flat.filter(pa.array(real)).dictionary_encode()
-        self.words = coded.dictionary.to_pylist()
+        self.words = coded.dictionary
         self.code = coded.indices.to_numpy().astype(np.int64)
         self.doc = np.repeat(np.arange(len(texts)), self.sizes)
 
@@ -84,10 +90,8 @@ def layout(texts: pa.Array, words: Words) -> np.ndarray:
     return np.stack((np.log1p(words.sizes), distinct / n, symbols / size, upper / size, digits / size, count[:, 10] / n, count[:, 124] / n, size / n, repeats / n), axis=1)
 
 
-def text_features(words: Words, of: list[tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray]:
-    """(document, feature id), sorted: present and frequent features, from the features ``of`` each distinct word."""
-    size = np.fromiter(map(len, of), np.int64, len(of))
-    flat = np.fromiter((f for x in of for f in x), np.int64, int(size.sum()))
+def text_features(words: Words, size: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(document, feature id), sorted: present and frequent features; flat: the features of one distinct word after another, size: how many each has."""
     held = size[words.code] > 0
     code, doc = words.code[held], words.doc[held]
     n = size[code]
@@ -229,13 +233,14 @@ def _both(text_odds, meta_odds) -> list:
 
 
 class Model:
-    """Both views with their calibration, the bins of figures and lengths, and the combination.
+    """Both views with their calibration, the bins of figures and lengths, the names of words' features of weight, and the combination.
 
     ``taught``: how many pseudo-labels each view (text, metadata) gave to the other one.
     """
 
-    def __init__(self, edges: list[np.ndarray], lengths: np.ndarray, text: Linear, meta: Linear, mix: np.ndarray, taught: tuple[int, int] = (0, 0)):
+    def __init__(self, edges: list[np.ndarray], lengths: np.ndarray, names: list[str], text: Linear, meta: Linear, mix: np.ndarray, taught: tuple[int, int] = (0, 0)):
         self.edges, self.lengths, self.text, self.meta, self.mix, self.taught = edges, lengths, text, meta, mix, taught
+        self.names = [n for n in names if name_id(n) in text.weights or name_id(n) ^ FREQUENT in text.weights]
 
     def combined(self, text_odds, meta_odds):
         return sum(w * x for w, x in zip(self.mix, [*_both(text_odds, meta_odds), 1.0], strict=True))
@@ -257,7 +262,8 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _parts(batch):
             texts = part.column("text")
             words = Words(texts)
-            doc, feature = text_features(words, [word_features(w) for w in words.words])
+            of = [word_features(w) for w in words.words.to_pylist()]
+            doc, feature = text_features(words, np.fromiter(map(len, of), np.int64, len(of)), np.fromiter((f for x in of for f in x), np.int64))
             features = [x.astype("<u4").tobytes() for x in split_rows(doc, feature, part.num_rows)]
             yield pa.record_batch({
                 **{c: part.column(c) for c in ("doc_id", "label", "source", "lang", "n_chars")},
@@ -265,25 +271,39 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             })
 
 
+def _named(wanted: set[int]):
+    """Documents -> the names of those features of their words that are wanted, or are the frequent form of a wanted one."""
+    held = wanted | {f ^ FREQUENT for f in wanted}
+
+    def run(batches):
+        for batch in batches:
+            for part in _parts(batch):
+                names = {n for w in Words(part.column("text")).words.to_pylist() for n in word_names(w) if name_id(n) in held}
+                yield pa.record_batch({"name": pa.array(sorted(names), pa.string())})
+
+    return run
+
+
 class _Reader:
-    """Batches of documents -> the features of both views; of text features only the ``wanted``."""
+    """Batches of documents -> the features of both views; of text features only the ``wanted``. names: those that words can have."""
 
-    def __init__(self, edges: list[np.ndarray], lengths: np.ndarray, wanted: set[int]):
-        self.edges, self.lengths, self.known = edges, lengths, {}
+    def __init__(self, edges: list[np.ndarray], lengths: np.ndarray, wanted: set[int], names: list[str]):
+        self.edges, self.lengths = edges, lengths
         self.wanted = np.array(sorted(wanted), np.int64)
-        self.of_words = wanted | {f ^ FREQUENT for f in wanted}
+        of = {k: sorted(n[1:] for n in names if n[0] == k) for k in "ws345"}
+        self.texts = {k: pa.array(x, pa.string()) for k, x in of.items()}
+        self.ids = {k: np.array([*(name_id(k + n) for n in x), -1], np.int64) for k, x in of.items()}  # the last one: none
 
-    def features(self, word: str) -> tuple[int, ...]:
-        if (found := self.known.get(word)) is None:
-            if len(self.known) >= MEMORY:
-                self.known.clear()
-            found = self.known[word] = tuple(f for f in word_features(word) if f in self.of_words)
-        return found
+    def of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        core = pc.utf8_trim(words, characters=PUNCTUATION)
+        cut = {"w": core, "s": pc.utf8_slice_codeunits(words, start=-3)} | {str(k): pc.utf8_slice_codeunits(core, start=0, stop=k) for k in (3, 4, 5)}
+        found = np.stack([self.ids[k][pc.fill_null(pc.index_in(x, value_set=self.texts[k]), len(self.texts[k])).to_numpy()] for k, x in cut.items()], axis=1)
+        return (found >= 0).sum(axis=1), found[found >= 0]
 
     def __call__(self, part: pa.RecordBatch) -> tuple[list[np.ndarray], list[np.ndarray]]:
         texts, n = part.column("text"), part.num_rows
         words = Words(texts)
-        doc, feature = text_features(words, list(map(self.features, words.words)))
+        doc, feature = text_features(words, *self.of_words(words.words))
         figures = binned(self.edges, layout(texts, words))
         doc, feature = np.concatenate((doc, np.repeat(np.arange(n), figures.shape[1]))), np.concatenate((feature, figures.ravel()))
         held = np.isin(feature, self.wanted)
@@ -294,9 +314,9 @@ class _Reader:
 POOL = "doc_id long, text_features binary, meta_features binary"
 
 
-def _compact(edges: list[np.ndarray], lengths: np.ndarray, wanted: set[int]):
+def _compact(edges: list[np.ndarray], lengths: np.ndarray, wanted: set[int], names: list[str]):
     def run(batches):
-        read = _Reader(edges, lengths, wanted)
+        read = _Reader(edges, lengths, wanted, names)
         for batch in batches:
             for part in _parts(batch):
                 text, meta = read(part)
@@ -344,6 +364,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = 5000, rounds: int =
     # One document an id, before anything comes to the driver.
     names = [c for c, _ in INPUTS if c != "doc_id"] + ["label"]
     one = some.groupBy("doc_id").agg(F.min_by(F.struct(*names), F.struct(F.xxhash64("text", "lang", "source", "n_chars"))).alias("d")).select("doc_id", "d.*")
+    one = materialize(one.repartition(32), "quality-sample")
     shape = "doc_id long, label double, source string, lang string, n_chars long, features binary, figures binary"
     sample = one.mapInArrow(releasing(_sampled), shape).toPandas()  # ``labelled`` rows at most
     sample = sample.sort_values("doc_id").reset_index(drop=True)
@@ -353,7 +374,8 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = 5000, rounds: int =
     edges = [bins(col) for col in figures.T] if len(sample) else []
     lengths = bins(sample["n_chars"].fillna(0).to_numpy(float)) if len(sample) else np.zeros(0)
     if len(sample) < 20 or len(set(label)) < 2:
-        return Model(edges, lengths, Linear({}, 0.0 if not len(sample) or label.mean() >= 0.5 else -10.0), Linear({}, 0.0), np.array([1.0, 0.0, 0.0, 5.0]))
+        drop(one)
+        return Model(edges, lengths, [], Linear({}, 0.0 if not len(sample) or label.mean() >= 0.5 else -10.0), Linear({}, 0.0), np.array([1.0, 0.0, 0.0, 5.0]))
     text = [np.concatenate((np.frombuffer(x, "<u4").astype(np.int64), b)) for x, b in zip(sample["features"], binned(edges, figures), strict=True)]
     whole = lambda c: [None if pd.isna(x) else x for x in sample[c]]
     meta = metadata_features(lengths, whole("source"), whole("lang"), whole("n_chars"))
@@ -361,9 +383,12 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = 5000, rounds: int =
     chi = _evidence(index, np.repeat(np.arange(len(text)), [len(x) for x in text]), label, len(ids))
     best = np.argsort(-chi, kind="stable")[:CANDIDATES]
     wanted = set(ids[best[chi[best] >= CANDIDATE_CHI]].tolist())
-    text = [x[np.isin(x, np.array(sorted(wanted), np.int64))] for x in text]
+    held = np.isin(ids, list(wanted))[index]
+    text = split_rows(np.repeat(np.arange(len(text)), [len(x) for x in text])[held], ids[index[held]], len(text))
+    names = sorted(r[0] for r in one.mapInArrow(releasing(_named(wanted)), "name string").distinct().collect())  # of CANDIDATES features at most
+    drop(one)
     aside = np.array([zlib.crc32(str(i).encode()) % 4 == 0 for i in sample["doc_id"]])
-    free = rows.mapInArrow(releasing(_compact(edges, lengths, wanted)), POOL)
+    free = rows.mapInArrow(releasing(_compact(edges, lengths, wanted, names)), POOL)
     free = free.join(known.select("id"), F.col("doc_id") == F.col("id"), "left_anti").groupBy("text_features", "meta_features").agg(F.min("doc_id").alias("doc_id"))
     pool: list[DataFrame] = []
 
@@ -376,7 +401,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = 5000, rounds: int =
     for table in pool:
         drop(table)
     release_memory()
-    return Model(edges, lengths, *model)
+    return Model(edges, lengths, names, *model)
 
 
 def cotrain(label: np.ndarray, aside: np.ndarray, text: list[np.ndarray], meta: list[np.ndarray], surest, rounds: int, sure: float) -> tuple[Linear, Linear, np.ndarray, tuple[int, int]]:
@@ -414,7 +439,7 @@ def cotrain(label: np.ndarray, aside: np.ndarray, text: list[np.ndarray], meta:
 
 def _scored(model: Model):
     """Batches with text, lang, source and n_chars -> rows of both views' and the combined log odds."""
-    read = _Reader(model.edges, model.lengths, set(model.text.weights))
+    read = _Reader(model.edges, model.lengths, set(model.text.weights), model.names)
 
     def run(batch: pa.RecordBatch) -> np.ndarray:
         out = []
