@@ -3,7 +3,7 @@
 The model is every n-gram of the training documents, however many there are, so no executor holds it.
 
 1. Documents are written once, in blocks of about BLOCK_TOKENS tokens. A block folds its n-grams to
-   distinct 64-bit hashes with their training counts and sends each model part the slice that it owns.
+   distinct hashes of HASH_BITS bits with their training counts and sends each model part the slice that it owns.
 2. A model part sums the counts of equal hashes and answers each block's slice with the totals. A hot
    n-gram costs a part one entry a block, so parts stay even; their number follows the input's tokens,
    so none grows with it. A block sends a part one row, or none if it has no n-gram there: rows never
@@ -38,7 +38,10 @@ SUMMED = 2_000_000
 #: Tokens of a document that one lane of a traversal reads.
 LANE = 512
 END, START = b"\nend", b"\nstart"  # no word holds white space
-_START_HASH = np.uint64(xxhash.xxh64_intdigest(START))
+#: Bits of an n-gram's hash that are sent and kept; the low ones of 64 are cut off.
+HASH_BITS = 56
+_CUT = np.uint64(64 - HASH_BITS)
+_START_HASH = np.uint64(xxhash.xxh64_intdigest(START)) >> _CUT
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -88,7 +91,7 @@ class Block:
                 longer[1:] = mixed(gram[:-1], names[tokens[1:]])
                 gram = longer
             fits = np.flatnonzero(place >= k)
-            hashes, at, index = np.unique(gram[fits], return_index=True, return_inverse=True)
+            hashes, at, index = np.unique(gram[fits] >> _CUT, return_index=True, return_inverse=True)
             own = np.full(len(tokens), -1, np.int32)
             own[fits] = index
             self.hashes.append(hashes)
@@ -98,7 +101,7 @@ class Block:
 
     def cuts(self, k: int, parts: int) -> np.ndarray:
         """Where the sorted hashes pass from one model part to the next."""
-        edges = np.array([(i << 64) // parts for i in range(parts)], dtype=np.uint64)
+        edges = np.array([(i << HASH_BITS) // parts for i in range(parts)], dtype=np.uint64)
         return np.append(np.searchsorted(self.hashes[k], edges), len(self.hashes[k]))
 
 
@@ -345,7 +348,7 @@ def score(docs: DataFrame, order: int = 3, mu: float = 30.0) -> DataFrame:
     how many observations the shorter context counts for. Null and empty texts are an end token alone.
     Null ids are held out. Repeated rows count, and are scored, as often as they occur. An empty table
     gives no rows, and without training documents all weights come from the 0.1 per word. Other columns
-    are not looked at. Two n-grams whose 64-bit hashes are equal would share a count.
+    are not looked at. Two n-grams of equal hashes share a count: of D distinct ones, about D^2 / 2^57 pairs.
     """
     spark = docs.sparkSession
     small_batches(spark)
