@@ -367,7 +367,9 @@ def near_duplicates(docs: DataFrame, size: int = 3, max_bits: int = 3) -> DataFr
     size: words in a shingle. Documents are linked if their fingerprints differ by max_bits or fewer
     bits; component_id is the smallest doc_id that links lead to. Texts without words (null, empty) have
     fingerprint 0 and are linked like any other. Null ids are linked too, but name a component only if
-    it has no other id. Repeated rows each keep a row. Other columns are not looked at.
+    it has no other id. Repeated rows each keep a row. Other columns are not looked at. A fingerprint
+    that very many documents have is a frequent key of the last join, which adaptive execution deals to
+    several tasks; everything before it sees that fingerprint once.
     """
     rows = materialize(fingerprints(docs, size), "fingerprints")
     distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")

@@ -123,3 +123,21 @@ def test_links_of_many_kinds(spark):
     made = df.select(urls._absolute(F.col("link"), F.lit("https://Site.org/d/e/f?z")).alias("to"), "link").select("link", urls.path_of(F.col("to")).alias("path"), urls.key_of(F.col("to")).alias("key")).collect()
     assert [(r.link, r.path) for r in made] == rows
     assert [r.key for r in made if r.link.startswith("?")] == ["site.org/d/e/f?q=1&r=2"]
+
+
+def test_other_ways_beyond_broadcasts(spark, monkeypatch, odd_docs):
+    """The ways that tables take which are too large to broadcast give the same rows."""
+    plain = lambda df: sorted(map(repr, df.collect()))
+    pages = spark.createDataFrame([(i, f"http://h{i % 3}.net/{'fr' if i % 2 else 'x'}/{i}", None) for i in range(40)] + [(99, None, None)], "page_id long, url string, html string")
+    asked = {
+        "mixing": lambda: mixing.mix_report(odd_docs),
+        "decontamination": lambda: decontam.contamination(odd_docs, bench(spark)),
+        "urls": lambda: urls.judge(pages),
+        "near-dedup": lambda: simhash.one_of_each(odd_docs).select("doc_id"),
+    }
+    want = {name: plain(f()) for name, f in asked.items()}
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 1)
+    for module in (decontam, urls, simhash):
+        monkeypatch.setattr(module, "MAX_BROADCAST", 0)
+    for name, f in asked.items():
+        assert plain(f()) == want[name], name

@@ -80,3 +80,13 @@ def test_run(spark):
     rows = corpus_pipeline.run(spark, SF).collect()
     assert len({r.start for r in rows}) == len(rows) > 50
     assert hashlib.sha256(repr(sorted(tuple(r) for r in rows)).encode()).digest() == hashlib.sha256(repr(sorted(tuple(r) for r in corpus_pipeline.run(spark, SF).collect())).encode()).digest()
+
+
+def test_run_on_odd_and_on_no_documents(spark, odd_docs, no_docs, tmp_path):
+    for name, docs, n in (("odd", odd_docs, 30), ("none", no_docs, 0)):
+        folder = str(tmp_path / name)
+        docs.write.parquet(f"{folder}/documents.parquet")
+        for table in ("labels", "benchmark"):
+            spark.read.parquet(f"{SF}/{table}.parquet").write.parquet(f"{folder}/{table}.parquet")
+        rows = corpus_pipeline.run(spark, folder).collect()
+        assert len(rows) >= n and (n or not rows)
