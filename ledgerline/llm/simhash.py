@@ -393,8 +393,8 @@ STAGE_BITS = 6
 BLOCK_TEXTS = 4000
 #: Counters of shingles (their levels are sent to every task: 16 MB), and the slices in which tasks send counts.
 COUNTERS, SLICES = 1 << 24, 64
-#: Rounds in which a group is compared with one other before all pairs that are left are.
-HEAD_ROUNDS = 2
+#: Rounds in which a group is compared with one other, before all pairs that are left are.
+HEAD_ROUNDS = 1
 #: Texts up to which their keys are broadcast to find them.
 MAX_BROADCAST = 200_000
 #: Bytes of text taken apart at once, about.
