@@ -389,8 +389,10 @@ def near_duplicates(docs: DataFrame, size: int = 3, max_bits: int = 3) -> DataFr
 
 #: Bits by which fingerprints of the stage's first candidates differ.
 STAGE_BITS = 6
-#: Texts compared with one text in a task.
-BLOCK_TEXTS = 4000
+#: Texts compared with one text in a task; texts, and shingles of theirs, in a block of a cluster.
+BLOCK_TEXTS, BLOCK_SHINGLES = 4000, 2_000_000
+#: Sets at a shingle up to which each two of them are a candidate pair. Where more meet, clusters of sets are compared in blocks.
+DENSE = 50
 #: Counters of shingles (their levels are sent to every task: 16 MB), and the slices in which tasks send counts.
 COUNTERS, SLICES = 1 << 24, 64
 #: Rounds in which a group is compared with one other, before all pairs that are left are.
@@ -518,6 +520,74 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, size: int, similarity: flo
     return materialize(rows.mapInArrow(releasing(_similar_pairs(size, similarity)), "src long, dst long"), "dedup-similar")
 
 
+def links_within(sets: list[np.ndarray], blocks: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the similar pairs of some sets, by how many shingles each shares with all others; if there are
+    two blocks, of the pairs across them alone."""
+    n, size, across = len(sets), np.array([len(x) for x in sets]), len(set(blocks.tolist())) > 1
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(n), size)
+    by = np.argsort(flat, kind="stable")
+    flat, owner = flat[by], owner[by]
+    a, b, held = [], [], 0
+    for i, mine in enumerate(sets):
+        first, m = np.searchsorted(flat, mine, "left"), np.searchsorted(flat, mine, "right")
+        m -= first
+        both = np.bincount(owner[np.repeat(first - (np.cumsum(m) - m), m) + np.arange(m.sum())], minlength=n)
+        near_ = both >= similarity * (size[i] + size - both)
+        near_[: i + 1] = False
+        if across:
+            near_ &= blocks != blocks[i]
+        found = np.flatnonzero(near_)
+        a.append(np.full(len(found), i))
+        b.append(found)
+        held += len(found)
+        if held > CHUNK:
+            x, y = _forest(np.concatenate(a), np.concatenate(b))
+            a, b, held = [x], [y], len(x)
+    a, b = np.concatenate(a), np.concatenate(b)
+    return _forest(a, b) if len(a) else (a, b)
+
+
+def _cluster_links(size: int, similarity: float):
+    """Sorted rows (cluster, i, j, block, node, text) -> (src, dst) of links_within() for each cluster and pair of blocks."""
+
+    def run(batches):
+        key, nodes, sets, blocks = None, [], [], []
+
+        def links():
+            a, b = links_within(sets, np.array(blocks), similarity) if len(sets) > 1 else ([], [])
+            named = np.array(nodes, np.int64)
+            return pa.record_batch({"src": pa.array(named[np.array(a, np.int64)]), "dst": pa.array(named[np.array(b, np.int64)])})
+
+        for batch in batches:
+            for part, found in _sets(batch, 5, size):
+                columns = [part.column(k).to_pylist() for k in range(5)]
+                for *mine, block, node, x in zip(*columns, found, strict=True):
+                    if mine != key:
+                        if sets:
+                            yield links()
+                        key, nodes, sets, blocks = mine, [], [], []
+                    nodes.append(node)
+                    sets.append(x)
+                    blocks.append(block)
+        if sets:
+            yield links()
+
+    return run
+
+
+def cluster_links(clusters: DataFrame, sizes: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Similar pairs within ``clusters(node, component)``, connected as these are: every two blocks of a cluster meet in a task, so
+    a text is sent as often as its cluster has blocks, and no pairs but similar ones are rows."""
+    n = int(clusters.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sized = clusters.join(sizes, "node")
+    many = sized.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("n"))
+    dealt = sized.join(many, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("n")).cast("int")).join(texts, "node")
+    other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    rows = other.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "text")
+    met = rows.repartition(n, "component", "i", "j").sortWithinPartitions("component", "i", "j")
+    return materialize(met.mapInArrow(releasing(_cluster_links(size, similarity)), "src long, dst long"), "dedup-similar")
+
+
 def fingerprint_pairs(sets: DataFrame, max_bits: int) -> DataFrame:
     """Pairs ``(a, b)`` of ``sets(node, fp)`` that SimHash links: a set with the least one of its fingerprint, and these along near_links()."""
     least = materialize(sets.groupBy("fp").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")), "dedup-fingerprints")
@@ -565,8 +635,9 @@ def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8, max_bit
     2. of the pairs that are not in one group yet, those that the prefixes of their sets leave open. With
        all shingles in one order, rare ones first, two similar sets have the first shingle that they
        share within the prefixes of both (about a fifth of a set at 0.8). In HEAD_ROUNDS rounds each group
-       is compared with the first one that it meets at a shingle; then all pairs of sets of different
-       groups that meet and that sizes and positions allow.
+       is compared with the first one that it meets at a shingle. Then, where up to DENSE sets meet, all
+       pairs of sets of different groups are compared that sizes and positions allow; and where more do, the
+       clusters of sets that such shingles connect are compared whole, in blocks, without a row for each pair.
 
     So no similar pair is missed but for collisions of 64-bit hashes, whatever max_bits is. Equal sets are
     folded first. Texts without words (null, empty) are copies of one another. Of rows equal in id and
@@ -587,17 +658,21 @@ def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8, max_bit
     twice = materialize(rows.groupBy("key", "doc_id").count().where("count > 1").select("key", F.col("doc_id").alias("twice")), "dedup-repeated")
     drop(rows)
 
-    def compared(pairs: DataFrame) -> DataFrame:
-        """The similar ones of some written pairs, by the texts of one document of each set."""
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    def with_texts(wanted: DataFrame, found_by) -> DataFrame:
+        """What found_by makes of the texts ``(node, text)`` of one document of each wanted set."""
         asked = materialize(sets.select("node", "key", "doc_id").join(wanted, "node").select("node", "key", F.col("doc_id").alias("id")), "dedup-wanted")
         found = keyed.select("key", "doc_id", "text").join(_small(asked), "key").where(F.col("id").eqNullSafe(F.col("doc_id"))).select("node", "text")
         texts = materialize(found.dropDuplicates(["node"]), "dedup-texts")  # rows of one id and text come once
-        out = similar_pairs(pairs, texts, size, similarity)
+        out = found_by(texts)
         for table in (asked, texts):
             drop(table)
         return out
 
+    def compared(pairs: DataFrame) -> DataFrame:
+        """The similar ones of some written pairs."""
+        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        return with_texts(wanted, lambda texts: similar_pairs(pairs, texts, size, similarity))
+
     seen = materialize(fingerprint_pairs(sets.select("node", "fp"), max_bits), "dedup-linked")
     joined = compared(seen)
     at = sets.select("node", "size", F.posexplode("prefix").alias("pos", "shingle"))
@@ -613,6 +688,14 @@ def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8, max_bit
         if not heads.take(1):
             break
         seen, joined = seen.union(heads), joined.union(compared(heads))
+    dense = materialize(shared.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("head")).where(F.col("n") > DENSE).select("shingle", "head"), "dedup-dense")
+    if dense.take(1):
+        edges = shared.join(dense, "shingle").select(F.col("node").alias("src"), F.col("head").alias("dst")).distinct()
+        clusters = materialize(connected_components(edges), "dedup-clusters")
+        joined = joined.union(with_texts(clusters.select("node"), lambda texts: cluster_links(clusters, sets.select("node", "size"), texts, size, similarity)))
+        rare = materialize(shared.join(dense, "shingle", "left_anti"), "dedup-shared")
+        drop(shared)
+        shared = rare
     other = shared.select("shingle", *[F.col(c).alias(f"{c}2") for c in ("node", "size", "pos", "group")])
     # From the first shingle that two sets share on, they have enough left to share.
     enough = F.least(F.col("size") - F.col("pos"), F.col("size2") - F.col("pos2")) >= similarity / (1 + similarity) * (F.col("size") + F.col("size2")) - 1e-6

@@ -117,9 +117,10 @@ def jaccard_groups(texts, size=5, least=0.8):
     return {find(i) for i in range(len(texts))}
 
 
-@pytest.mark.parametrize(("block", "bits"), [(4000, 6), (6, 6), (4000, 0)])
-def test_one_of_each_against_all_pairs(spark, monkeypatch, block, bits):
+@pytest.mark.parametrize(("block", "bits", "dense"), [(4000, 6, 50), (6, 6, 2), (4000, 0, 2)])
+def test_one_of_each_against_all_pairs(spark, monkeypatch, block, bits, dense):
     monkeypatch.setattr(S, "BLOCK_TEXTS", block)
+    monkeypatch.setattr(S, "DENSE", dense)
     rng = random.Random(9)
     base = [[f"w{rng.randrange(500)}" for _ in range(rng.randrange(60, 300))] for _ in range(12)]
     texts = [" ".join(b) for b in base] * 2
@@ -178,9 +179,23 @@ def alike(a, b):
     return len(a & b) >= 0.8 * len(a | b)
 
 
+def test_links_within_blocks():
+    rng = np.random.default_rng(3)
+    base = np.unique(rng.integers(0, 1 << 60, 60).astype(np.uint64))
+    sets = [np.unique(np.concatenate((base[rng.random(len(base)) < 0.95], rng.integers(0, 1 << 60, rng.integers(0, 12)).astype(np.uint64)))) for _ in range(60)] + [base[:0]]
+    whole = {(i, j) for i in range(61) for j in range(i + 1, 61) if S.similar(sets[i], sets[j], 0.8)}
+    assert 10 < len(whole) < 1700
+    for blocks in (np.zeros(61, int), np.arange(61) % 2):
+        pairs = {(i, j) for i, j in whole if len(set(blocks.tolist())) == 1 or blocks[i] != blocks[j]}
+        a, b = S.links_within(sets, blocks, 0.8)
+        x, y = S._forest(np.array([i for i, _ in pairs]), np.array([j for _, j in pairs]))
+        assert set(zip(a.tolist(), b.tolist(), strict=True)) == set(zip(x.tolist(), y.tolist(), strict=True))
+
+
 def test_many_long_copies_of_few_texts(spark, monkeypatch):
     """Copies whose shingles, summed, were once beyond a block's while the texts were not."""
-    monkeypatch.setattr(S, "BLOCK_SHINGLES", 500, raising=False)
+    monkeypatch.setattr(S, "BLOCK_SHINGLES", 500)
+    monkeypatch.setattr(S, "DENSE", 3)
     rng = random.Random(4)
     base = random_words(rng, 200)
     texts = [" ".join([*base[:k], "q", *base[k:]]) for k in range(0, 200, 8)]
@@ -189,8 +204,9 @@ def test_many_long_copies_of_few_texts(spark, monkeypatch):
 
 
 def test_similar_pairs_among_many_less_similar_texts(spark, monkeypatch):
-    """Texts that share most of a template, which only some similar pairs stand out from."""
-    monkeypatch.setattr(S, "BLOCK_TEXTS", 3)
+    """Texts that share most of a template, which only some similar pairs stand out from: by clusters in several blocks."""
+    monkeypatch.setattr(S, "BLOCK_TEXTS", 7)
+    monkeypatch.setattr(S, "DENSE", 5)
     rng = random.Random(6)
     base, texts = random_words(rng, 200), []
     for _ in range(40):
