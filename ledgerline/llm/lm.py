@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from ledgerline.llm.common import materialize, mixed, numbered_words, releasing, small_batches
 
 #: Tokens of a block; tokens for each of which there is a model part.
-BLOCK_TOKENS, PART_TOKENS = 1_500_000, 1_500_000
+BLOCK_TOKENS, PART_TOKENS = 1_000_000, 1_500_000
 #: N-grams that a model part sums at once.
 SUMMED = 2_000_000
 #: Tokens of a document that one lane of a traversal reads.
@@ -186,6 +186,7 @@ def _ask(order: int, parts: int):
                         for p in some.tolist()
                     ]
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                del block, rows  # before the next one is made
 
     return run
 
@@ -275,9 +276,10 @@ class Automaton:
             targets.append(target[known])
             p_shorter, shorter_state = p, state
         self.failure, self.failure_weight = np.concatenate(self.failure), np.concatenate(self.failure_weight)
-        self.keys = np.concatenate(keys)
+        self.keys, self.weights, self.targets = np.concatenate(keys), np.concatenate(weights), np.concatenate(targets)
+        del keys, weights, targets
         by = np.argsort(self.keys)
-        self.keys, self.weights, self.targets = self.keys[by], np.concatenate(weights)[by], np.concatenate(targets)[by]
+        self.keys, self.weights, self.targets = self.keys[by], self.weights[by], self.targets[by].astype(np.int32)
 
     def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """From states by words: the next states and the weights on the way, failure arcs included."""
@@ -328,6 +330,7 @@ def _score(order: int, n_tokens: int, n_types: int, mu: float):
         block = _unpacked(slices[by_part[0]][0], order)
         counts = [np.concatenate([_counts(slices[i][k]) for i in by_part[1:]]) for k in range(order)]
         automaton = Automaton(block, counts, n_tokens, n_types, mu)
+        block.hashes, block.at, block.counts, block.own[1:] = [], [], [], []
         score = automaton.traverse(block)
         real = block.tokens != block.start_word
         own, doc, n = block.own[0][real], block.doc_of[real], len(block.ids)
