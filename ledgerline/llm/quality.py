@@ -144,6 +144,8 @@ class Linear:
 
     def calibrate(self, raw: np.ndarray, y: np.ndarray) -> None:
         w = _logistic(np.stack((raw, np.ones_like(raw)), axis=1), y, 1e-3)
+        if w[0] <= 0:  # scores that tell nothing, or the wrong way round: the share of good documents alone
+            w = 0.0, _logistic(np.ones((len(y), 1)), y, 1e-3)[0]
         self.slope, self.offset = float(w[0]), float(w[1])
 
     def log_odds(self, raw):
@@ -167,29 +169,27 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float, rounds: int = 50) -> n
     return w
 
 
-def _evidence(index: np.ndarray, owner: np.ndarray, y: np.ndarray, n_ids: int) -> np.ndarray:
-    """Chi-square of each feature, 0 unless it speaks against a document."""
+def _evidence(index: np.ndarray, owner: np.ndarray, y: np.ndarray, n_ids: int, faults: bool = True) -> np.ndarray:
+    """Chi-square of each feature; with faults 0 unless it speaks against a document."""
     n, n1 = max(1, len(y)), max(1.0, float(y.sum()))
     n0 = max(1.0, n - n1)
     good, held = np.bincount(index, weights=y[owner], minlength=n_ids), np.bincount(index, minlength=n_ids).astype(float)
     bad = held - good
     chi = n * (good * (n0 - bad) - bad * (n1 - good)) ** 2 / np.maximum(n1 * n0 * held * (n - held), 1.0)
-    return np.where(good * n0 < bad * n1, chi, 0)
+    return np.where(good * n0 < bad * n1, chi, 0) if faults else chi
 
 
 def _fit(rows: list, y: np.ndarray, faults: bool, l2: float = 1e-3) -> Linear:
-    """A logistic fit on presence features (accelerated gradient steps). faults: only of features that speak against a
-    document, with enough evidence: harmless words can't make up for them."""
+    """A logistic fit on presence features with enough evidence (accelerated gradient steps). faults: only of those that speak
+    against a document: harmless words can't make up for them."""
     owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
     index = np.concatenate(rows) if rows else np.zeros(0, np.int64)
     ids, index = np.unique(index, return_inverse=True)
     n, n1 = max(1, len(y)), max(1.0, float(y.sum()))
     n0 = max(1.0, n - n1)
-    keep = np.arange(len(ids))
-    if faults:
-        chi = _evidence(index, owner, y, len(ids))
-        keep = np.argsort(-chi, kind="stable")[:FEATURES]
-        keep = keep[chi[keep] >= LEAST_CHI]
+    chi = _evidence(index, owner, y, len(ids), faults)
+    keep = np.argsort(-chi, kind="stable")[:FEATURES]
+    keep = keep[chi[keep] >= LEAST_CHI]
     column = np.full(len(ids), -1)
     column[keep] = np.arange(len(keep))
     used = column[index] >= 0
