@@ -271,6 +271,52 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             })
 
 
+def _text_rows(edges: list[np.ndarray], part: pa.RecordBatch) -> list[np.ndarray]:
+    """What _sampled() gave -> each document's feature ids, those of its binned figures last."""
+    figures = binned(edges, np.array([np.frombuffer(x.as_buffer()) for x in part.column("figures")]))
+    return [np.concatenate((np.frombuffer(x.as_buffer(), "<u4").astype(np.int64), b)) for x, b in zip(part.column("features"), figures, strict=True)]
+
+
+def _tallied(edges: list[np.ndarray]):
+    """What _sampled() gave -> how many documents hold a feature, and how many of them are good."""
+
+    def run(batches):
+        for batch in batches:
+            for part in _parts(batch):
+                rows = _text_rows(edges, part)
+                ids, index = np.unique(np.concatenate(rows), return_inverse=True)
+                good = np.repeat(part.column("label").to_numpy(), [len(r) for r in rows])
+                yield pa.record_batch({"feature": pa.array(ids), "held": pa.array(np.bincount(index).astype(float)), "good": pa.array(np.bincount(index, weights=good))})
+
+    return run
+
+
+def _candidates(features: DataFrame, edges: list[np.ndarray], y: np.ndarray) -> set[int]:
+    """The CANDIDATES features that speak most clearly against a document, by _evidence(), summed up by the executors."""
+    n, n1 = float(len(y)), max(1.0, float(y.sum()))
+    n0 = max(1.0, n - n1)
+    tally = features.mapInArrow(releasing(_tallied(edges)), "feature long, held double, good double")
+    tally = tally.groupBy("feature").agg(F.sum("held").alias("held"), F.sum("good").alias("good")).withColumn("bad", F.col("held") - F.col("good"))
+    good, bad, held = F.col("good"), F.col("bad"), F.col("held")
+    gap = good * (n0 - bad) - bad * (n1 - good)
+    chi = F.lit(n) * (gap * gap) / F.greatest(F.lit(n1 * n0) * held * (F.lit(n) - held), F.lit(1.0))
+    best = tally.where(good * n0 < bad * n1).select("feature", chi.alias("chi")).where(F.col("chi") >= CANDIDATE_CHI)
+    return {r.feature for r in best.orderBy(F.col("chi").desc(), "feature").limit(CANDIDATES).collect()}
+
+
+def _only(edges: list[np.ndarray], wanted: set[int]):
+    """What _sampled() gave -> the wanted ones of each document's feature ids."""
+    kept = np.array(sorted(wanted), np.int64)
+
+    def run(batches):
+        for batch in batches:
+            for part in _parts(batch):
+                rows = [r[np.isin(r, kept)].astype("<u4").tobytes() for r in _text_rows(edges, part)]
+                yield pa.record_batch({"doc_id": part.column("doc_id"), "features": pa.array(rows, pa.binary())})
+
+    return run
+
+
 def _named(wanted: set[int]):
     """Documents -> the names of those features of their words that are wanted, or are the frequent form of a wanted one."""
     held = wanted | {f ^ FREQUENT for f in wanted}
@@ -366,7 +412,8 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = 5000, rounds: int =
     one = some.groupBy("doc_id").agg(F.min_by(F.struct(*names), F.struct(F.xxhash64("text", "lang", "source", "n_chars"))).alias("d")).select("doc_id", "d.*")
     one = materialize(one.repartition(32), "quality-sample")
     shape = "doc_id long, label double, source string, lang string, n_chars long, features binary, figures binary"
-    sample = one.mapInArrow(releasing(_sampled), shape).toPandas()  # ``labelled`` rows at most
+    features = materialize(one.mapInArrow(releasing(_sampled), shape), "quality-features")
+    sample = features.drop("features").toPandas()  # ``labelled`` rows at most, without what grows with their texts
     sample = sample.sort_values("doc_id").reset_index(drop=True)
     label = sample["label"].to_numpy(float)
     figures = np.array([np.frombuffer(x) for x in sample["figures"]]) if len(sample) else np.zeros((0, 0))
@@ -375,16 +422,15 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = 5000, rounds: int =
     lengths = bins(sample["n_chars"].fillna(0).to_numpy(float)) if len(sample) else np.zeros(0)
     if len(sample) < 20 or len(set(label)) < 2:
         drop(one)
+        drop(features)
         return Model(edges, lengths, [], Linear({}, 0.0 if not len(sample) or label.mean() >= 0.5 else -10.0), Linear({}, 0.0), np.array([1.0, 0.0, 0.0, 5.0]))
-    text = [np.concatenate((np.frombuffer(x, "<u4").astype(np.int64), b)) for x, b in zip(sample["features"], binned(edges, figures), strict=True)]
     whole = lambda c: [None if pd.isna(x) else x for x in sample[c]]
     meta = metadata_features(lengths, whole("source"), whole("lang"), whole("n_chars"))
-    ids, index = np.unique(np.concatenate(text), return_inverse=True)
-    chi = _evidence(index, np.repeat(np.arange(len(text)), [len(x) for x in text]), label, len(ids))
-    best = np.argsort(-chi, kind="stable")[:CANDIDATES]
-    wanted = set(ids[best[chi[best] >= CANDIDATE_CHI]].tolist())
-    held = np.isin(ids, list(wanted))[index]
-    text = split_rows(np.repeat(np.arange(len(text)), [len(x) for x in text])[held], ids[index[held]], len(text))
+    wanted = _candidates(features, edges, label)
+    held = features.mapInArrow(releasing(_only(edges, wanted)), "doc_id long, features binary").toPandas()
+    held = dict(zip(held["doc_id"], held["features"], strict=True))
+    text = [np.frombuffer(held[i], "<u4").astype(np.int64) for i in sample["doc_id"]]
+    drop(features)
     names = sorted(r[0] for r in one.mapInArrow(releasing(_named(wanted)), "name string").distinct().collect())  # of CANDIDATES features at most
     drop(one)
     aside = np.array([zlib.crc32(str(i).encode()) % 4 == 0 for i in sample["doc_id"]])

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -369,6 +370,20 @@ def test_a_sampled_id_in_very_many_rows(spark):
     assert quality.score(one, quality.fit(one, labels)).where("keep").count() == 5000
 
 
+def test_long_labelled_texts_stay_off_the_driver(spark):
+    """Only features that can matter reach the driver, not all of the sampled texts."""
+    long = "concat_ws(' ', transform(sequence(1, 5000), i -> concat('w', hex(i * 977 + id * 5003)))) || if(id % 3 = 0, ' mark mark', '')"
+    docs = spark.range(60).selectExpr("id as doc_id", f"{long} as text", "'en' as lang", "'s' as source", "id as n_chars")
+    labels = spark.range(60).selectExpr("id as doc_id", "int(id % 3 <> 0) as quality", "0 as toxic")
+    tracemalloc.start()
+    try:
+        model = quality.fit(docs, labels)
+        assert tracemalloc.get_traced_memory()[1] < 20e6
+    finally:
+        tracemalloc.stop()
+    assert {r.doc_id for r in quality.score(docs, model).where("keep").collect()} == {i for i in range(60) if i % 3}
+
+
 def test_classifier_on_held_out_documents(spark):
     rng = random.Random(13)
     rows, labels = [], []
